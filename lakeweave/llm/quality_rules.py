@@ -32,7 +32,7 @@ STOP_WORDS = (
 RULES = (
     Rule("too_long", "n_words", None, 1_000_000),
     Rule("word_length", "mean_word_chars", 1.5, 25.0),
-    Rule("symbols", "symbol_ratio", None, 0.5),
+    Rule("symbols", "symbol_ratio", None, 0.2),
     Rule("stop_words", "stop_word_ratio", 0.01, None),
     Rule("repeated_lines", "dup_line_ratio", None, 0.5),
 )
