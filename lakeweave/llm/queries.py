@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import bpe, language_id, quality_model, quality_rules, secrets
+from lakeweave.llm import bpe, language_id, quality_model, quality_rules, secrets, simhash
 from lakeweave.llm.common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +35,6 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_model, op3_quality_rules, op4_language_id, op5_byte_bpe, op7_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_model, op3_quality_rules, op4_language_id, op5_byte_bpe, op7_secrets)}
 
 ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle_sql()}
