@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import bpe, language_id, quality_model, quality_rules, secrets, simhash
+from lakeweave.llm import bpe, language_id, multiset_hash, quality_model, quality_rules, secrets, simhash
 from lakeweave.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_model, op3_quality_rules, op4_language_id, op5_byte_bpe, op7_secrets)}
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_model, op3_quality_rules, op4_language_id, op5_byte_bpe, op7_secrets, op9_document_fingerprints)}
 
 ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle_sql()}
