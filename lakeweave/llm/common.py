@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +50,24 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def bounded(df: DataFrame, key: str, most: int, salt: int = 7) -> DataFrame:
-    """A sample of about `most` rows by hash of `key`, never over twice that; all rows when there are no more.
-
-    The rows counted are narrow: callers pass ids, and fetch what is wide for the ids kept.
-    """
+    """A sample of `most` rows, as expected from a hash of `key`; all rows when there are no more."""
     n = df.count()
     if n <= most:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n))).limit(2 * most)
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
+
+
+def mapped(docs: DataFrame, change: Callable[[pa.RecordBatch, dict[str, int]], pa.RecordBatch]) -> DataFrame:
+    """docs with each Arrow batch changed, all columns and their types kept.
+
+    change gets a batch and the place of each column; names that clash do no harm, as the
+    batch's own names are c0, c1 and so on.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {n: i for i, n in reversed(list(enumerate(docs.columns)))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield change(batch, at)
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import fold, pick
+from lakeweave.llm.common import fold, mapped, pick
 
 #: Hash buckets of the trigrams.
 BUCKETS = 1 << 13
@@ -95,6 +95,21 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, top, top - second
 
 
+def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and lead of each text; `und`, 0 and 1 for null texts and those without a letter."""
+    n = len(texts)
+    margins, known = np.zeros((n, len(model.offsets)), np.float32), np.zeros(n, bool)
+    for i, scalar in enumerate(texts):
+        text = scalar.as_py()
+        if text and model.languages and _LETTER.search(text):
+            margins[i], known[i] = counts(text) @ model.weights + model.offsets, True
+    lang, score, lead = np.full(n, UNDETERMINED, object), np.zeros(n), np.ones(n)
+    if known.any():
+        best, score[known], lead[known] = decode(model, margins[known])
+        lang[known] = np.array(model.languages, object)[best]
+    return lang, score, lead
+
+
 def learn(docs: DataFrame, usable: Column, most: int = 400) -> Model:
     """Fits on the rows of docs (doc_id, text, lang) where usable holds and lang is not null.
 
@@ -147,18 +162,22 @@ def identify(docs: DataFrame, model: Model | None = None, folds: int = 4, held_o
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            n = batch.num_rows
-            margins, known = np.zeros((n, len(m.offsets)), np.float32), np.zeros(n, bool)
-            for i, scalar in enumerate(batch.column("text")):
-                text = scalar.as_py()
-                if text and m.languages and _LETTER.search(text):
-                    margins[i], known[i] = counts(text) @ m.weights + m.offsets, True
-            lang, score, lead = np.full(n, UNDETERMINED, object), np.zeros(n), np.ones(n)
-            if known.any():
-                best, top, ahead = decode(m, margins[known])
-                lang[known], score[known], lead[known] = np.array(m.languages, object)[best], top, ahead
+            lang, score, lead = predict(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(lang.tolist(), pa.string()), "score": pa.array(score, pa.float64()), "ambiguous": pa.array(lead < least_lead)})
 
     return rows.select("doc_id", "text", out.alias("held_out")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: Model | None = None, folds: int = 4, held_out: int = 2, least_lead: float = 0.05) -> DataFrame:
+    """The rows of docs, all columns, whose language identify() finds and doesn't call ambiguous; nothing is shuffled."""
+    if model is None:
+        rows = pick(docs, "doc_id", "text", "lang")
+        model = learn(rows, fold(F.col("doc_id"), folds) != held_out)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def change(batch: pa.RecordBatch, at: dict[str, int]) -> pa.RecordBatch:
+        lang, _, lead = predict(shared.value, batch.column(at["text"]))
+        return batch.filter(pa.array((lang != UNDETERMINED) & (lead >= least_lead)))
+
+    return mapped(docs, change)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import bpe, language_id, multiset_hash, quality_model, quality_rules, secrets, simhash
+import corpus_pipeline
+from lakeweave.llm import bpe, language_id, mixing, multiset_hash, quality_model, quality_rules, secrets, simhash
 from lakeweave.llm.common import table
 
 
@@ -39,6 +40,14 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_model, op3_quality_rules, op4_language_id, op5_byte_bpe, op7_secrets, op9_document_fingerprints)}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_model, op3_quality_rules, op4_language_id, op5_byte_bpe, op7_secrets, op9_document_fingerprints, op10_mix_sources, pipeline)}
 
 ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle_sql()}

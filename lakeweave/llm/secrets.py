@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import bounded, pick
+from lakeweave.llm.common import bounded, mapped, pick
 
 # The base rules. A match that fails its length is dropped, but still used up.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -244,6 +244,28 @@ def labelled_credentials(docs: DataFrame, most_docs: int = 4000) -> dict[str, li
     return {kind: [r["value"] for r in rows if r["kind"] == kind] for kind in ("access_key", "hex_key")}
 
 
+class Scanner:
+    """The spans of a text: by the base rules, and what the formats add."""
+
+    def __init__(self, learnt: Formats):
+        self.learnt = learnt
+        self.order = {k: i for i, k in enumerate([*BASE_KINDS, *learnt.known])}
+
+    def __call__(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+        """(start, end, kind) of the base spans and of the added ones; a candidate that overlaps a base span is not added."""
+        base = base_spans(text)
+        more = []
+        for m in CANDIDATE.finditer(text):
+            token = m[0].rstrip(".-=")
+            start, end = m.start(), m.start() + len(token)
+            if len(token) >= 20 and any(c in DIGIT for c in token) and not any(s < end and start < e for s, e, _ in base) and (kind := self.learnt.kind_of(token)):
+                more.append((start, end, kind))
+        return [(s, e, BASE_KINDS[k]) for s, e, k in base], more
+
+    def joined(self, spans: list[tuple[int, int, str]]) -> str:
+        return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], self.order[x[2]])))
+
+
 def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """The secrets of each row of docs (doc_id, text).
 
@@ -254,30 +276,51 @@ def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     results; further columns are ignored.
     """
     rows = pick(docs, "doc_id", "text")
-    formats = formats or Formats(labelled_credentials(rows))
-    shared = rows.sparkSession.sparkContext.broadcast(formats)
+    shared = rows.sparkSession.sparkContext.broadcast(Scanner(formats or Formats(labelled_credentials(rows))))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt = shared.value
-        order = {k: i for i, k in enumerate([*BASE_KINDS, *learnt.known])}
+        scan = shared.value
         for batch in batches:
             counts, digests, spans, added = ([], [], []), [], [], []
             for scalar in batch.column(1):
-                text = scalar.as_py() or ""
-                base = base_spans(text)
-                named = [(s, e, BASE_KINDS[k]) for s, e, k in base]
-                more = []
-                for m in CANDIDATE.finditer(text):
-                    token = m[0].rstrip(".-=")
-                    start, end = m.start(), m.start() + len(token)
-                    if len(token) >= 20 and any(c in DIGIT for c in token) and not any(s < end and start < e for s, e, _ in base) and (kind := learnt.kind_of(token)):
-                        more.append((start, end, kind))
-                for k in range(3):
-                    counts[k].append(sum(x[2] == k for x in base))
-                digests.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in named).encode()).hexdigest())
-                spans.append(",".join(f"{k}:{s}:{e}" for s, e, k in sorted(named + more, key=lambda x: (x[0], order[x[2]]))))
+                base, more = scan(scalar.as_py() or "")
+                for kind, n in zip(BASE_KINDS, counts, strict=True):
+                    n.append(sum(x[2] == kind for x in base))
+                digests.append(hashlib.sha256(scan.joined(base).encode()).hexdigest())
+                spans.append(scan.joined(base + more))
                 added.append(len(more))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_assign", "n_access", "n_hex"), counts, strict=True)}, "base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string()), "n_added": pa.array(added, pa.int64())})
 
     return rows.mapInArrow(run, f"doc_id {id_type}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint")
+
+
+def without_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each span replaced by its kind in brackets; overlapping spans go as one, named by the first."""
+    out, end = [], 0
+    for s, e, kind in sorted(spans):
+        if s >= end:
+            out += [text[end:s], f"[{kind}]"]
+        end = max(end, e)
+    return "".join([*out, text[end:]])
+
+
+def masked(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
+    """The rows of docs, all columns, with the secrets that scan_secrets() finds masked, and n_chars, where there is one, counted anew."""
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(formats or Formats(labelled_credentials(pick(docs, "doc_id", "text")))))
+
+    def change(batch: pa.RecordBatch, at: dict[str, int]) -> pa.RecordBatch:
+        scan, texts, sizes = shared.value, [], []
+        for scalar in batch.column(at["text"]):
+            text = scalar.as_py()
+            if text and (spans := [x for found in scan(text) for x in found]):
+                text = without_spans(text, spans)
+            texts.append(text)
+            sizes.append(None if text is None else len(text))
+        columns = list(batch.columns)
+        columns[at["text"]] = pa.array(texts, pa.string())
+        if "n_chars" in at:
+            columns[at["n_chars"]] = pa.array(sizes, pa.int64()).cast(columns[at["n_chars"]].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return mapped(docs, change)

@@ -109,3 +109,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, paired: int = PAIRED) -> Da
     found = connected_components(links(nodes, paired))
     roots = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(roots, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of docs, all columns, without those near_duplicates() puts behind a smaller doc_id.
+
+    Rows of one doc_id are one document, of which one row stays. Rows without a doc_id stay.
+    """
+    found = cut(near_duplicates(docs, words).select("doc_id", "component_id"))
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    plain, key = docs.toDF(*places), places[docs.columns.index("doc_id")]
+    behind = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    kept = plain.join(behind, key, "left_anti")
+    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1)
+    if repeated.count():
+        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    return kept.select(*places).toDF(*docs.columns)
