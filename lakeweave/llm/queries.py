@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lakeweave.llm import bpe, html_text, language_id, mixing, multiset_hash, quality_model, quality_rules, secrets, simhash
+from lakeweave.llm import bpe, html_text, language_id, licenses, mixing, multiset_hash, quality_model, quality_rules, secrets, simhash
 from lakeweave.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_model, op3_quality_rules, op4_language_id, op5_byte_bpe, op7_secrets, op8_html_text, op9_document_fingerprints, op10_mix_sources, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_model, op3_quality_rules, op4_language_id, op5_byte_bpe, op6_license_scan, op7_secrets, op8_html_text, op9_document_fingerprints, op10_mix_sources, pipeline)}
 
 ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle_sql()}
