@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +13,11 @@ _DIRECTIVES = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss
 
 def strftime(at: Column, pattern: str) -> Column:
     """A date or timestamp as text by a strftime pattern, through date_format."""
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern[i] == "%" and i + 1 < len(pattern):
-            if pattern[i + 1] not in _DIRECTIVES:
-                raise ValueError(f"%{pattern[i + 1]} has no Spark pattern")
-            out, i = out + _DIRECTIVES[pattern[i + 1]], i + 2
-        else:
-            out, i = out + (f"'{pattern[i]}'" if pattern[i].isalpha() else pattern[i]), i + 1
+    out = ""
+    for directive, literal in re.findall(r"%(.)|([^%]+)", pattern):
+        if directive and directive not in _DIRECTIVES:
+            raise ValueError(f"%{directive} has no Spark pattern")
+        out += _DIRECTIVES[directive] if directive else re.sub(r"[A-Za-z']+", lambda m: "'" + m[0].replace("'", "''") + "'", literal)
     return F.date_format(at, out)
 
 

@@ -10,7 +10,7 @@ import json
 import re
 from typing import NamedTuple
 
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import SparkSession
 
 #: Nodes of a select around its aggregate.
@@ -31,7 +31,7 @@ def stripped(text: str) -> str:
 def classify(spark: SparkSession, text: str) -> Kind:
     """Whether a statement is a query, and whether its outermost select aggregates.
 
-    Commands, and texts that don't parse, are no queries. Window functions are no
+    Commands, and texts that can't be parsed or analysed, are no queries. Window functions are no
     aggregates, and neither are aggregates inside a derived table alone.
     """
     try:
@@ -41,7 +41,10 @@ def classify(spark: SparkSession, text: str) -> Kind:
     name = parsed.getClass().getName()
     if "Command" in name or re.search(r"\.(Create|Drop|Insert|Delete|Update|Merge|Alter|Show|Describe|Set|Use|Refresh|Cache|Uncache|Analyze|Load|Truncate|Repair|Replace|Explain)\w*$", name):
         return Kind(False, False, "the statement is not a SELECT query")
-    analysed = spark.sql(stripped(text))._jdf.queryExecution().analyzed()
+    try:
+        analysed = spark.sql(stripped(text))._jdf.queryExecution().analyzed()
+    except AnalysisException as e:
+        return Kind(False, False, f"failed to analyse: {e.getMessage().splitlines()[0]}")
     return Kind(True, _aggregates(json.loads(analysed.toJSON())))
 
 
