@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lakeweave.llm.common import pick
+from lakeweave.llm.common import arrow_map, pick
 
 #: Most distinct pieces that one Python worker remembers; others are merged anew.
 REMEMBERED = 600_000
@@ -139,4 +139,4 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: boo
             yield pa.RecordBatch.from_pydict(out)
 
     more = ", ids array<bigint>, decoded string" if with_ids else ""
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return arrow_map(rows, run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

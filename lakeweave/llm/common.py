@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The characters that end a word: space and U+0009 to U+000D.
 WORD_BREAKS = " \t\n\x0b\f\r"
 #: The same as a regular expression for Java, Python and DuckDB.
 BREAK_CLASS = r"[\x20\x09-\x0D]"
+#: Bytes of an Arrow batch that goes to a Python worker, and Spark's setting for it.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +60,18 @@ def bounded(df: DataFrame, key: str, most: int, salt: int = 7) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
 
 
+def arrow_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of a few megabytes.
+
+    Texts differ in length by orders of magnitude, so batches are bounded by bytes and not
+    by rows alone; a session that has set a bound of its own keeps it.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) in (None, "-1", str((1 << 31) - 1)):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def mapped(docs: DataFrame, change: Callable[[pa.RecordBatch, dict[str, int]], pa.RecordBatch]) -> DataFrame:
     """docs with each Arrow batch changed, all columns and their types kept.
 
@@ -70,4 +85,4 @@ def mapped(docs: DataFrame, change: Callable[[pa.RecordBatch, dict[str, int]], p
         for batch in batches:
             yield change(batch, at)
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return arrow_map(plain, run, plain.schema).toDF(*docs.columns)

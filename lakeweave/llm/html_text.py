@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import pick
+from lakeweave.llm.common import arrow_map, pick
 from lakeweave.llm.html_pages import NAMES, made_pages
 from lakeweave.llm.trees import Forest, fit_forest
 
@@ -262,4 +262,4 @@ def extract_text(pages: DataFrame, at_once: int = 128) -> DataFrame:
                 texts = main_texts([x or "" for x in part.column(2).to_pylist()], shared.value)
                 yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    return rows.select("page_id", "url", F.col("html").cast("string")).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return arrow_map(rows.select("page_id", "url", F.col("html").cast("string")), run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import fold, mapped, pick
+from lakeweave.llm.common import arrow_map, fold, mapped, pick
 
 #: Hash buckets of the trigrams.
 BUCKETS = 1 << 13
@@ -140,7 +140,7 @@ def learn(docs: DataFrame, usable: Column, most: int = 400) -> Model:
         return x
 
     kept: dict[str, list[np.ndarray]] = {}
-    for r in chosen.select("text", "lang").mapInArrow(run, "lang string, x binary").limit(2 * most * len(sizes)).collect():
+    for r in arrow_map(chosen.select("text", "lang"), run, "lang string, x binary").limit(2 * most * len(sizes)).collect():
         if len(kept.setdefault(r["lang"], [])) < most:
             kept[r["lang"]].append(unpacked(bytes(r["x"])))
     return fit([(lang, x) for lang, found in sorted(kept.items()) for x in found])
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: Model | None = None, folds: int = 4, held_o
             lang, score, lead = predict(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(lang.tolist(), pa.string()), "score": pa.array(score, pa.float64()), "ambiguous": pa.array(lead < least_lead)})
 
-    return rows.select("doc_id", "text", out.alias("held_out")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return arrow_map(rows.select("doc_id", "text", out.alias("held_out")), run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, folds: int = 4, held_out: int = 2, least_lead: float = 0.05) -> DataFrame:

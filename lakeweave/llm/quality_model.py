@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import bounded, cut, fold, pick
+from lakeweave.llm.common import arrow_map, bounded, cut, fold, pick
 from lakeweave.llm.quality_rules import STOP_WORDS
 from lakeweave.llm.trees import Forest, fit_forest
 
@@ -60,7 +60,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             x = [statistics(text.as_py() or "") for text in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array(x, pa.list_(pa.float64()))})
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3, most_labelled: int = 20_000) -> DataFrame:
@@ -88,4 +88,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
             score = forest.score(flat)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
-    return stats.select("doc_id", "x", (fold(F.col("doc_id"), folds) == held_out).alias("held_out")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return arrow_map(stats.select("doc_id", "x", (fold(F.col("doc_id"), folds) == held_out).alias("held_out")), run, f"doc_id {id_type}, held_out boolean, score double, predicted int")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import bounded, mapped, pick
+from lakeweave.llm.common import arrow_map, bounded, mapped, pick
 
 # The base rules. A match that fails its length is dropped, but still used up.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -239,7 +239,7 @@ def labelled_credentials(docs: DataFrame, most_docs: int = 4000) -> dict[str, li
                         values.append(value)
             yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string())})
 
-    found = bounded(docs, "doc_id", most_docs).mapInArrow(run, "kind string, value string").where(F.length("value") <= 128)
+    found = arrow_map(bounded(docs, "doc_id", most_docs), run, "kind string, value string").where(F.length("value") <= 128)
     rows = found.groupBy("kind", "value").count().orderBy("kind", "value").limit(2000).collect()
     return {kind: [r["value"] for r in rows if r["kind"] == kind] for kind in ("access_key", "hex_key")}
 
@@ -292,7 +292,7 @@ def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
                 added.append(len(more))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_assign", "n_access", "n_hex"), counts, strict=True)}, "base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string()), "n_added": pa.array(added, pa.int64())})
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint")
+    return arrow_map(rows, run, f"doc_id {id_type}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint")
 
 
 def without_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
