@@ -110,14 +110,15 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
     return lang, score, lead
 
 
-def learn(docs: DataFrame, usable: Column, most: int = 400) -> Model:
+def learn(docs: DataFrame, usable: Column, most: int = 400, most_languages: int = 500) -> Model:
     """Fits on the rows of docs (doc_id, text, lang) where usable holds and lang is not null.
 
     Of each language at most `most` rows are used (about as many by hash of the id, all
-    of a smaller language); only their trigram counts go to the driver.
+    of a smaller language), of the most_languages most frequent ones; only their trigram
+    counts go to the driver.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not sizes:
         return fit([])
     limit = F.lit(0)
