@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql.types import StructType
 WORD_BREAKS = " \t\n\x0b\f\r"
 #: The same as a regular expression for Java, Python and DuckDB.
 BREAK_CLASS = r"[\x20\x09-\x0D]"
+#: Neighbouring ids that are sampled together, and the most ranges of ids that a sample's filter lists.
+BLOCK, MOST_BLOCKS = 16, 512
 #: Bytes of an Arrow batch that goes to a Python worker, and Spark's setting for it.
 BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -52,12 +56,32 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds)).cast("int")
 
 
-def bounded(df: DataFrame, key: str, most: int, salt: int = 7) -> DataFrame:
+def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
     """A sample of `most` rows, as expected from a hash of `key`; all rows when there are no more."""
     n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
+    return df if n <= most else sampled(df, key, F.lit(most / n))
+
+
+def sampled(df: DataFrame, key: str, share: Column, salt: int = 7) -> DataFrame:
+    """The rows of df whose block of ids falls into the share (0 to 1) by its hash; share may differ by row.
+
+    A block holds BLOCK neighbouring ids. Which blocks are wanted is told from the narrow
+    columns alone, and their ranges are added as a filter: where files are in the order of
+    the ids, the scan of the wide columns skips all other row groups instead of reading
+    everything for a small sample. Ids that are no integers are hashed by themselves.
+    """
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    block = F.floor(F.coalesce(F.col(key), F.lit(0)) / BLOCK) if whole else F.col(key)
+    kept = df.where(F.pmod(F.xxhash64(block, F.lit(salt)), F.lit(1 << 30)) < share * (1 << 30))
+    if not whole:
+        return kept
+    blocks = sorted(r["block"] for r in kept.select(block.alias("block")).distinct().limit(MOST_BLOCKS + 1).collect())
+    if not blocks or len(blocks) > MOST_BLOCKS:
+        return kept
+    tests = [F.col(key).between(b * BLOCK, (b + 1) * BLOCK - 1) for b in blocks] + [F.col(key).isNull()] * (0 in blocks)
+    while len(tests) > 1:  # a balanced tree of ORs
+        tests = [reduce(or_, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return kept.where(tests[0])
 
 
 def arrow_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

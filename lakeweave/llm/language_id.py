@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import arrow_map, fold, mapped, pick
+from lakeweave.llm.common import arrow_map, fold, mapped, pick, sampled
 
 #: Hash buckets of the trigrams.
 BUCKETS = 1 << 13
@@ -117,20 +117,20 @@ def learn(docs: DataFrame, usable: Column, most: int = 400, most_languages: int
     of a smaller language), of the most_languages most frequent ones; only their trigram
     counts go to the driver.
     """
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(usable & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not sizes:
         return fit([])
-    limit = F.lit(0)
+    share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, most / n)))).otherwise(limit)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < limit)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / n))).otherwise(share)
+    chosen = sampled(rows, "doc_id", share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
             for text in batch.column("text"):
-                x = counts(text.as_py())
+                x = counts(text.as_py() or "")
                 at = np.flatnonzero(x)
                 packed.append(at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "x": pa.array(packed, pa.binary())})
