@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders whose view has another name.
 ALIASES = {"date": "date_dim"}
+#: File endings and the reader for them; folders are Parquet unless said otherwise.
+FORMATS = {"parquet": "parquet", "orc": "orc", "csv": "csv", "json": "json"}
 
 
 class Tables:
@@ -20,6 +22,18 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
 
+def read(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None) -> DataFrame:
+    """A table from files of one format, by the ending of the path where none is given.
+
+    Text formats need a schema: without one Spark would read all of the data just to guess it.
+    """
+    fmt = fmt or FORMATS.get(path.rstrip("/").rpartition(".")[2], "parquet")
+    reader = spark.read.schema(schema) if schema else spark.read
+    if fmt in ("csv", "json") and not schema:
+        raise ValueError(f"{fmt} needs a schema")
+    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+
+
 def folders(spark: SparkSession, root: str) -> dict[str, str]:
     """Table name and path of each entry below root, in any store that Spark's file systems reach."""
     jvm = spark._jvm
@@ -28,17 +42,17 @@ def folders(spark: SparkSession, root: str) -> dict[str, str]:
     found = {}
     for status in listed:
         name = status.getPath().getName()
-        if name[:1] not in "._" and (status.isDirectory() or name.endswith(".parquet")):
+        if name[:1] not in "._" and (status.isDirectory() or name.rpartition(".")[2] in FORMATS):
             table = name.partition(".")[0]
             found[ALIASES.get(table, table)] = status.getPath().toString()
     return dict(sorted(found.items()))
 
 
-def register(spark: SparkSession, root: str, materialize: bool = False) -> list[str]:
-    """Makes each table below root a view, or with materialize a managed table; returns their names."""
+def register(spark: SparkSession, root: str, materialize: bool = False, schemas: dict[str, str] | None = None) -> list[str]:
+    """Makes each table below root a view, or with materialize a managed table; returns their names. schemas has those of tables in text formats."""
     names = []
     for name, path in folders(spark, root).items():
-        df = spark.read.parquet(path)
+        df = read(spark, path, schema=(schemas or {}).get(name))
         if materialize:
             df.write.mode("overwrite").saveAsTable(name)
         else:

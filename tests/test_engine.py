@@ -161,6 +161,8 @@ def test_users(tmp_path):
     assert authenticate(path, "ann:a:b") == "ann"
     assert authenticate(path, "ann:a") is None
     assert authenticate(path, "bob:a:b") is None
+    create_user(path, "ann", "new", rounds=1000)
+    assert authenticate(path, "ann:a:b") is None and authenticate(path, "ann:new") == "ann"
     assert "a:b" not in path.read_text()
     with pytest.raises(ValueError):
         create_user(path, "x:y", "p")
@@ -173,6 +175,14 @@ def test_catalog(spark, tmp_path, small):
     assert spark.sql("SELECT count(*) FROM date_dim").first()[0] == 3
     with pytest.raises(Exception, match="(?i)exists"):
         export(spark.range(2), str(tmp_path / "other"))
+    for fmt in ("orc", "csv", "json"):
+        spark.range(4).selectExpr("id", "id * 2 AS twice").write.option("header", True).format(fmt).save(str(tmp_path / f"t_{fmt}.{fmt}"))
+    with pytest.raises(ValueError, match="schema"):
+        register(spark, str(tmp_path))
+    names = register(spark, str(tmp_path), schemas=dict.fromkeys(("t_csv", "t_json"), "id long, twice long"))
+    assert names == ["date_dim", "other", "t_csv", "t_json", "t_orc"]
+    for name in names[2:]:
+        assert spark.sql(f"SELECT sum(id), sum(twice) FROM {name}").first()[:] == (6, 12)
     engine = Engine(spark, small)
     assert engine.sql("SELECT count(*) AS n FROM region").reasons == ["no shards are at hand"]
 
