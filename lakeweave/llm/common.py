@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+import lakeweave
+
 #: The characters that end a word: space and U+0009 to U+000D.
 WORD_BREAKS = " \t\n\x0b\f\r"
 #: The same as a regular expression for Java, Python and DuckDB.
@@ -84,12 +92,35 @@ def sampled(df: DataFrame, key: str, share: Column, salt: int = 7) -> DataFrame:
     return kept.where(tests[0])
 
 
+_shipped: set[str] = set()
+
+
+def ship(context: SparkContext) -> None:
+    """Sends this package to the Python workers, once for each application.
+
+    Functions are sent to workers by name, so workers must be able to import them wherever
+    the driver was started, also on machines that don't have the package.
+    """
+    if context.applicationId in _shipped:
+        return
+    package = Path(lakeweave.__file__).resolve().parent
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="lakeweave-"))  # the driver serves it as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/lakeweave_workers.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def arrow_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow over batches of a few megabytes.
 
     Texts differ in length by orders of magnitude, so batches are bounded by bytes and not
     by rows alone; a session that has set a bound of its own keeps it.
     """
+    ship(rows.sparkSession.sparkContext)
     conf = rows.sparkSession.conf
     if conf.get(BATCH_SETTING, None) in (None, "-1", str((1 << 31) - 1)):
         conf.set(BATCH_SETTING, str(BATCH_BYTES))
