@@ -20,8 +20,8 @@ from lakeweave.llm.common import cut, pick
 
 #: Rows of a block, slots of a cycle, and sources that a mix may have.
 BLOCK_ROWS, CYCLE, MOST_SOURCES = 16, 1200, 20_000
-#: Ids of one source that are ranked together, about.
-RANKED = 4096
+#: Ids that are ranked together, about, and the parts that a source is dealt to at least.
+RANKED, LEAST_PARTS = 4096, 256
 
 
 def slots(shares: dict[str, float], cycle: int) -> dict[str, int]:
@@ -68,7 +68,7 @@ def _ranked(rows: DataFrame, total: int) -> DataFrame:
     Ids are dealt to buckets by hash; a source's rank is the size of its earlier buckets plus
     the place within the bucket, so that no source is sorted in one task.
     """
-    buckets = max(1, total // RANKED)
+    buckets = max(LEAST_PARTS, total // RANKED)
     dealt = rows.withColumn("order", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     sizes = dealt.groupBy("source", "bucket").count()
     before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("source").orderBy("bucket")) - F.col("count"))
