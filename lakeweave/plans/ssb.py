@@ -1,6 +1,6 @@
 """The star-schema benchmark over views of the tables at hand.
 
-`lineorder` joins lines to their orders; `date_dim` has one row for each order date;
+`lineorder` is a line with its order; `date_dim` has one row for each order date;
 city, nation, region, category and manufacturer are derived from what the tables have.
 """
 
@@ -27,24 +27,32 @@ prod AS (SELECT p_partkey, p_brand, p_type AS p_category, 'MFGR#' || CAST(CAST(s
 
 
 class Star:
-    """The fact and dimension views; only the dimensions asked for are joined."""
+    """The fact with the dimensions asked for, each filtered before it is joined.
+
+    A fact row is a line of an order. Dates and customers belong to the order, suppliers
+    and parts to the line, so each side is narrowed by its own dimensions before the two
+    large tables meet.
+    """
 
     def __init__(self, t: Tables):
         self.t = t
 
     @property
-    def fact(self) -> DataFrame:
-        lines = self.t.lineitem.join(self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        return lines.select(
-            F.col("l_orderkey").alias("lo_orderkey"), F.col("o_custkey").alias("lo_custkey"), F.col("l_partkey").alias("lo_partkey"), F.col("l_suppkey").alias("lo_suppkey"),
-            F.col("l_quantity").alias("lo_quantity"), F.col("l_extendedprice").alias("lo_extendedprice"), F.round(F.col("l_discount") * 100).cast("int").alias("lo_discount"),
-            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("lo_revenue"), (0.6 * F.col("l_extendedprice")).alias("lo_supplycost"), _datekey().alias("lo_orderdate"),
+    def orders(self) -> DataFrame:
+        return self.t.orders.select(F.col("o_orderkey").alias("lo_orderkey"), F.col("o_custkey").alias("lo_custkey"), _datekey().alias("lo_orderdate"))
+
+    @property
+    def lines(self) -> DataFrame:
+        price, discount = F.col("l_extendedprice"), F.col("l_discount")
+        return self.t.lineitem.select(
+            F.col("l_orderkey").alias("lo_orderkey"), F.col("l_partkey").alias("lo_partkey"), F.col("l_suppkey").alias("lo_suppkey"), F.col("l_quantity").alias("lo_quantity"), price.alias("lo_extendedprice"),
+            F.round(discount * 100).cast("int").alias("lo_discount"), (price * (1 - discount)).alias("lo_revenue"), (0.6 * price).alias("lo_supplycost"),
         )
 
     @property
     def dates(self) -> DataFrame:
         at = F.col("o_orderdate")
-        return self.t.orders.select("o_orderdate").distinct().select(_datekey().alias("d_datekey"), F.year(at).alias("d_year"), strftime(at, "%Y%m").cast("int").alias("d_yearmonthnum"), strftime(at, "%b%Y").alias("d_yearmonth"), F.weekofyear(at).alias("d_weeknuminyear")).dropDuplicates(["d_datekey"])
+        return self.t.orders.select("o_orderdate").distinct().select(_datekey().alias("d_datekey"), F.year(at).alias("d_year"), (F.year(at) * 100 + F.month(at)).alias("d_yearmonthnum"), strftime(at, "%b%Y").alias("d_yearmonth"), F.weekofyear(at).alias("d_weeknuminyear")).dropDuplicates(["d_datekey"])
 
     def people(self, side: str) -> DataFrame:
         table, key = (self.t.customer, "c_custkey") if side == "c" else (self.t.supplier, "s_suppkey")
@@ -57,19 +65,22 @@ class Star:
         return self.t.part.select("p_partkey", "p_brand", F.col("p_type").alias("p_category"), F.concat(F.lit("MFGR#"), (number % 5 + 1).cast("string")).alias("p_mfgr"))
 
     def join(self, dates: Column | None = None, c: Column | None = None, s: Column | None = None, p: Column | None = None) -> DataFrame:
-        """The fact with the dimensions that have a condition, each filtered before it is joined."""
-        out = self.fact
+        """The fact with the dimensions that have a condition."""
+        orders, lines = self.orders, self.lines
         if dates is not None:
-            out = out.join(self.dates.where(dates), F.col("lo_orderdate") == F.col("d_datekey"))
+            orders = orders.join(self.dates.where(dates), F.col("lo_orderdate") == F.col("d_datekey"))
         if c is not None:
-            out = out.join(self.people("c").where(c), F.col("lo_custkey") == F.col("c_custkey"))
+            orders = orders.join(self.people("c").where(c), F.col("lo_custkey") == F.col("c_custkey"))
         if s is not None:
-            out = out.join(self.people("s").where(s), F.col("lo_suppkey") == F.col("s_suppkey"))
-        return out if p is None else out.join(self.parts.where(p), F.col("lo_partkey") == F.col("p_partkey"))
+            lines = lines.join(self.people("s").where(s), F.col("lo_suppkey") == F.col("s_suppkey"))
+        if p is not None:
+            lines = lines.join(self.parts.where(p), F.col("lo_partkey") == F.col("p_partkey"))
+        return lines.join(orders, "lo_orderkey")
 
 
 def _datekey() -> Column:
-    return strftime(F.col("o_orderdate"), "%Y%m%d").cast("int")
+    at = F.col("o_orderdate")
+    return F.year(at) * 10000 + F.month(at) * 100 + F.dayofmonth(at)
 
 
 def _is(column: str, *values: str | int) -> Column:

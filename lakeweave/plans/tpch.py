@@ -21,8 +21,9 @@ TPCH = Registry("tpch_")
 PARTSUPP = "ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, CAST(SUM(l_quantity) AS BIGINT) AS ps_availqty, MIN(l_extendedprice) AS ps_supplycost FROM lineitem GROUP BY ALL)"
 
 
-def partsupp(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.sum("l_quantity").cast("bigint").alias("ps_availqty"), F.min("l_extendedprice").alias("ps_supplycost"))
+def partsupp(lines: DataFrame) -> DataFrame:
+    """The stand-in from lines, which may be narrowed to some parts or suppliers beforehand: those are its keys."""
+    return lines.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.sum("l_quantity").cast("bigint").alias("ps_availqty"), F.min("l_extendedprice").alias("ps_supplycost"))
 
 
 def net() -> Column:
@@ -79,7 +80,8 @@ WHERE p_size = 25 AND p_type LIKE '%ARD' AND o.ps_supplycost = (SELECT MIN(x.ps_
 ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""")
 def h02(t: Tables) -> DataFrame:
     parts = t.part.where((F.col("p_size") == 25) & F.col("p_type").like("%ARD")).select("p_partkey", "p_brand")
-    offers = partsupp(t).join(placed(t, "s", "EUROPE"), F.col("ps_suppkey") == F.col("s_suppkey")).join(parts, F.col("ps_partkey") == F.col("p_partkey"))
+    wanted = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    offers = partsupp(wanted).join(placed(t, "s", "EUROPE"), F.col("ps_suppkey") == F.col("s_suppkey")).join(parts, F.col("ps_partkey") == F.col("p_partkey"))
     least = offers.groupBy("p_partkey").agg(F.min("ps_supplycost").alias("least"))
     best = offers.join(least, "p_partkey").where(F.col("ps_supplycost") == F.col("least"))
     return best.select("s_acctbal", "s_name", F.col("s_nation").alias("n_name"), "p_partkey", "p_brand").orderBy(F.desc("s_acctbal"), "n_name", "s_name", "p_partkey").limit(100)
@@ -160,7 +162,8 @@ FROM lineitem JOIN ps ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN
 WHERE p_name LIKE '%gear%' GROUP BY ALL ORDER BY nation, o_year DESC""")
 def h09(t: Tables) -> DataFrame:
     gears = t.part.where(F.col("p_name").like("%gear%")).select(F.col("p_partkey").alias("l_partkey"))
-    lines = t.lineitem.join(gears, "l_partkey", "left_semi").join(partsupp(t), (F.col("ps_partkey") == F.col("l_partkey")) & (F.col("ps_suppkey") == F.col("l_suppkey")))
+    lines = t.lineitem.join(gears, "l_partkey", "left_semi")
+    lines = lines.join(partsupp(lines), (F.col("ps_partkey") == F.col("l_partkey")) & (F.col("ps_suppkey") == F.col("l_suppkey")))
     lines = lines.join(placed(t, "s").select("s_suppkey", F.col("s_nation").alias("nation")), F.col("l_suppkey") == F.col("s_suppkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     profit = net() - F.col("ps_supplycost") * F.col("l_quantity")
     return lines.groupBy("nation", strftime(F.col("o_orderdate"), "%Y").alias("o_year")).agg(money(F.sum(profit), "sum_profit")).orderBy("nation", F.desc("o_year"))
@@ -180,7 +183,8 @@ def h10(t: Tables) -> DataFrame:
 WITH {PARTSUPP}, held AS (SELECT ps_partkey, ps_supplycost * ps_availqty AS v FROM ps JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_3')
 SELECT ps_partkey, ROUND(SUM(v), 2) AS value FROM held GROUP BY ps_partkey HAVING SUM(v) > (SELECT SUM(v) * 0.001 FROM held) ORDER BY value DESC, ps_partkey""")
 def h11(t: Tables) -> DataFrame:
-    held = partsupp(t).join(placed(t, "s").where(F.col("s_nation") == "NATION_3"), F.col("ps_suppkey") == F.col("s_suppkey")).select("ps_partkey", (F.col("ps_supplycost") * F.col("ps_availqty")).alias("v"))
+    sellers = placed(t, "s").where(F.col("s_nation") == "NATION_3").select(F.col("s_suppkey").alias("l_suppkey"))
+    held = partsupp(t.lineitem.join(sellers, "l_suppkey", "left_semi")).select("ps_partkey", (F.col("ps_supplycost") * F.col("ps_availqty")).alias("v"))
     floor = held.agg((F.sum("v") * 0.001).alias("floor"))  # one row
     totals = held.groupBy("ps_partkey").agg(F.sum("v").alias("total"))
     return totals.join(F.broadcast(floor), F.col("total") > F.col("floor")).select("ps_partkey", money(F.col("total"), "value")).orderBy(F.desc("value"), "ps_partkey")
@@ -230,7 +234,8 @@ def h16(t: Tables) -> DataFrame:
     parts = t.part.where((F.col("p_brand") != "Brand#5") & ~F.col("p_type").like("MEDIUM%") & F.col("p_size").isin(3, 9, 14, 19, 23, 36, 45, 49))
     # s_suppkey is a key without nulls, so NOT IN is a plain anti join
     barred = t.supplier.where((F.col("s_acctbal") < 0) & F.col("s_suppkey").isNotNull()).select(F.col("s_suppkey").alias("ps_suppkey"))
-    left = partsupp(t).select("ps_partkey", "ps_suppkey").join(barred, "ps_suppkey", "left_anti").join(parts, F.col("ps_partkey") == F.col("p_partkey"))
+    wanted = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    left = partsupp(wanted).select("ps_partkey", "ps_suppkey").join(barred, "ps_suppkey", "left_anti").join(parts, F.col("ps_partkey") == F.col("p_partkey"))
     return left.groupBy("p_brand", "p_type", "p_size").agg(F.countDistinct("ps_suppkey").alias("supplier_cnt")).orderBy(F.desc("supplier_cnt"), "p_brand", "p_type", "p_size")
 
 
