@@ -26,7 +26,7 @@ from xxhash import xxh64_intdigest
 from lakeweave.llm.common import arrow_map, cut, pick
 from lakeweave.llm.components import connected_components
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits in which linked fingerprints may differ, and the bytes that they then share at least.
 MOST_BITS, LEAST_BYTES = 2, 6
 #: Members of a posting up to which they are paired.
@@ -41,7 +41,7 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     shingle, none the fingerprint zero.
     """
     # bytes.split() takes exactly these six characters as breaks
-    found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not found:
         return 0
     if len(found) < words:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeweave.llm import language_id, mixing, multiset_hash, quality_model, queries, simhash
+from lakeweave.llm import language_id, mixing, multiset_hash, near_copies, quality_model, queries
 from lakeweave.llm.trees import fit_forest
 
 
@@ -146,7 +146,7 @@ def test_mixed_documents_are_all_there_in_order(spark, larger):
 def test_pipeline(spark, small, docs):
     rows = corpus_pipeline.run(spark, small).collect()
     kept = language_id.keep_identified(docs)
-    want = {r["component_id"] for r in simhash.near_duplicates(kept).collect()}
+    want = {r["doc_id"] for r in near_copies.drop_near_copies(kept).select("doc_id").collect()}
     assert {r["doc_id"] for r in rows} == want and len(rows) == len(want)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "secret scans", "mixing sources", "byte-level BPE"]
     assert corpus_pipeline.ORACLE_SQL is None
