@@ -4,22 +4,26 @@ Every source is cut into blocks. Block j of a source of weight w may start at sl
 floor(j / w) and is due at ceil((j + 1) / w); the earliest deadline among the released
 blocks takes each slot. Each source then stays within one block of its share at all times.
 
-Weights are rounded to whole slots of a fixed cycle, so the schedule repeats: only one cycle
-is worked out, its size a parameter, and each row finds its slot from its rank in its source.
+Weights are taken as they are, as whole numbers in the same proportion, so nothing is
+rounded. One worker deals the slots from the table of sources, keeps one entry for each
+source and writes a row for each block; each row of the data finds its block from its rank.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import floor
+from collections.abc import Iterator
+from fractions import Fraction
+from math import floor, lcm
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut, pick
+from lakeweave.llm.common import arrow_map, cut, pick
 
-#: Rows of a block, slots of a cycle, and sources that a mix may have.
-BLOCK_ROWS, CYCLE, MOST_SOURCES = 16, 1200, 20_000
+#: Rows of a block, and blocks of the plan in a batch.
+BLOCK_ROWS, BATCH = 16, 50_000
 #: Ids that are ranked together, about, and the parts that a source is dealt to at least.
 RANKED, LEAST_PARTS = 4096, 256
 
@@ -35,8 +39,15 @@ def slots(shares: dict[str, float], cycle: int) -> dict[str, int]:
     return out
 
 
-def pfair_cycle(each: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, block) for each slot of a cycle; each gives every source's slots, which add up to the cycle.
+def whole(shares: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the shares."""
+    exact = {s: Fraction(w) for s, w in shares.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def schedule(each: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, block) for each slot, in proportion to each, until the next source has no block left.
 
     The window of a block is its release to its deadline, in whole numbers. Of released
     blocks the earliest deadline goes first; of equal ones the block whose window overlaps
@@ -46,8 +57,8 @@ def pfair_cycle(each: dict[str, int]) -> list[tuple[str, int]]:
     waiting = [(0, s, 0) for s in sorted(each) if each[s]]
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    out = []
-    for t in range(cycle):
+    t = 0
+    while waiting or ready:
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
             due = -(-(j + 1) * cycle // each[s])
@@ -56,10 +67,16 @@ def pfair_cycle(each: dict[str, int]) -> list[tuple[str, int]]:
         due, _, _, s, j = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a block missed its deadline")
-        out.append((s, j))
-        if j + 1 < each[s]:
-            heapq.heappush(waiting, ((j + 1) * cycle // each[s], s, j + 1))
-    return out
+        if j == blocks[s]:
+            return
+        yield s, j
+        heapq.heappush(waiting, ((j + 1) * cycle // each[s], s, j + 1))
+        t += 1
+
+
+def pfair_cycle(each: dict[str, int]) -> list[tuple[str, int]]:
+    """schedule() over one cycle; each gives every source's slots, which add up to the cycle."""
+    return list(schedule(each, each))
 
 
 def _ranked(rows: DataFrame, total: int) -> DataFrame:
@@ -76,25 +93,41 @@ def _ranked(rows: DataFrame, total: int) -> DataFrame:
     return within.join(before.select("source", "bucket", "before"), ["source", "bucket"]).select("doc_id", "source", (F.col("before") + F.col("place") - 1).alias("rank"))
 
 
-def _table(spark: SparkSession, phases: dict[str, list[tuple[str, int]]]) -> DataFrame:
-    """The slots of the cycles of the phases: a row for each slot of a cycle, so bounded by the cycle."""
-    rows = [(name, s, j, t) for name, plan in phases.items() for t, (s, j) in enumerate(plan)]
-    return spark.createDataFrame(rows, "phase string, source string, block_in_cycle long, slot_in_cycle long")
-
-
-def target_length(plan: list[tuple[str, int]], each: dict[str, int], blocks: dict[str, int]) -> tuple[int, dict[str, int]]:
-    """Slots that the repeated plan fills before the first source lacks a block, and each source's blocks in them."""
-    cycle = len(plan)
-    slot = {x: t for t, x in enumerate(plan)}
-    length = min(blocks[s] // each[s] * cycle + slot[s, blocks[s] % each[s]] for s in each)
-    rounds, part = divmod(length, cycle)
-    used = {s: rounds * n for s, n in each.items()}
-    for s, _ in plan[:part]:
-        used[s] += 1
-    return length, used
-
-
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
+def _plan(sizes: DataFrame, given: dict[str, float], power: float, block_rows: int, cycle: int | None) -> DataFrame:
+    """source, block, phase and slot of each block of the sources (source, count)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {s: n for batch in batches for s, n in zip(batch.column("source").to_pylist(), batch.column("count").to_pylist(), strict=True)}
+        if not counts:
+            return
+        blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+        mean = sum(given.values()) / len(given) if given else 1.0
+        target = {s: given.get(s, mean) if given else n**power for s, n in counts.items()}
+        each = slots(target, max(cycle, 2 * len(target))) if cycle else whole(target)
+        used, out, at = dict.fromkeys(counts, 0), [], 0
+        for s, j in schedule(each, blocks):
+            out.append((s, j, "target", at))
+            used[s], at = j + 1, at + 1
+            if len(out) == BATCH:
+                yield batch_of(out)
+                out = []
+        left = {s: n - used[s] for s, n in blocks.items() if n > used[s]}
+        for s, j in schedule(left, left):
+            out.append((s, used[s] + j, "rest", at))
+            at += 1
+            if len(out) == BATCH:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        types = {"source": pa.string(), "block": pa.int64(), "phase": pa.string(), "slot": pa.int64()}
+        return pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate(types.items())})
+
+    return arrow_map(sizes.select("source", "count").repartition(1), run, "source string, block bigint, phase string, slot bigint")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, cycle: int | None = None) -> DataFrame:
     """The place of each row of docs (doc_id, source) in the mix.
 
     Returns doc_id, source, block (of its source, from 0), in_block, phase, slot and
@@ -103,37 +136,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     sources that it lacks get the mean weight. Phase `target` keeps to the weights until the
     first source has no block left; what then remains follows in phase `rest`, interleaved
     in proportion to the blocks left, so that no row is lost. A null source is a source of
-    its own. In each phase a source is less than a block away from its share. Each input row gives one row; rows of one id lie side by side; an empty table
-    gives an empty result.
+    its own. In each phase a source is less than a block away from its share. With a cycle,
+    weights are rounded to whole slots of so many first, at least one for each source. Each
+    input row gives one row; rows of one id lie side by side; an empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     rows = pick(docs, "doc_id", "source").select("doc_id", key.alias("source"))
-    counts = rows.groupBy("source").count().limit(MOST_SOURCES + 1).collect()
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources; group them first")
-    sizes = {r["source"]: r["count"] for r in counts}
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    cycle = max(cycle, 2 * len(sizes))
+    sizes = cut(rows.groupBy("source").count())
     given = {f"={s}" if s is not None else "": w for s, w in (weights or {}).items()}
-    mean = sum(given.values()) / len(given) if given else 1.0
-    target = {s: given.get(s, mean) if given else n**power for s, n in sizes.items()}
-    each = slots(target, cycle) if sizes else {}
-    plan = pfair_cycle(each)
-    length, used = target_length(plan, each, blocks) if sizes else (0, {})
-    left = {s: blocks[s] - used[s] for s in sizes if blocks[s] > used[s]}
-    rest = left if sum(left.values()) <= cycle else slots(left, cycle)
-    rest_plan = pfair_cycle(rest)
-    table = _table(spark, {"target": plan, "rest": rest_plan})
-
-    ranked = _ranked(rows, sum(sizes.values()))
-    at = spark.createDataFrame([(s, used[s], each[s], rest.get(s, 1)) for s in sorted(sizes)], "source string, used long, each long, later long")
-    block = ranked.join(F.broadcast(at), "source").withColumn("block", F.expr(f"rank div {block_rows}"))
-    main = F.col("block") < F.col("used")
-    local, per = F.when(main, F.col("block")).otherwise(F.col("block") - F.col("used")), F.when(main, F.col("each")).otherwise(F.col("later"))
-    placed = block.select("doc_id", "source", "block", (F.col("rank") % block_rows).alias("in_block"), F.when(main, "target").otherwise("rest").alias("phase"), F.floor(local / per).alias("round"), (local % per).alias("block_in_cycle"))
-    slot = F.when(F.col("phase") == "target", F.col("round") * cycle).otherwise(length + F.col("round") * len(rest_plan)) + F.col("slot_in_cycle")
-    out = placed.join(F.broadcast(table), ["phase", "source", "block_in_cycle"]).withColumn("slot", slot)
+    plan = cut(_plan(sizes, given, power, block_rows, cycle))
+    ranked = _ranked(rows, sizes.agg(F.sum("count")).first()[0] or 0)
+    block = ranked.select("doc_id", "source", F.expr(f"rank div {block_rows}").alias("block"), (F.col("rank") % block_rows).alias("in_block"))
+    out = block.join(plan, ["source", "block"])
     name: Column = F.when(F.col("source") != "", F.substr("source", F.lit(2)))
     return out.select("doc_id", name.alias("source"), "block", "in_block", "phase", "slot", (F.col("slot") * block_rows + F.col("in_block")).alias("position"))
 

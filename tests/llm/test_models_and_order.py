@@ -137,6 +137,20 @@ def test_mix(spark, larger):
     assert sorted(mixing.mix_sources(larger.repartition(7), weights, block_rows=2, cycle=100).collect()) == sorted(rows)
 
 
+def test_mix_keeps_to_the_given_weights(spark):
+    """85 sources of which one has a third of the weight, and weights that no short cycle holds."""
+    weights = {"hot": 1 / 3, **{f"s{i}": (2 / 3) * (i + 1) / 44_850 for i in range(299)}}
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") * F.col("id") % 299).cast("string"))).alias("source"))
+    weights = {r["source"]: weights[r["source"]] for r in rows.select("source").distinct().collect()}
+    order = [r["source"] for r in mixing.mix_sources(rows, weights, block_rows=1).where("phase = 'target'").orderBy("slot").collect()]
+    total, seen = sum(weights.values()), dict.fromkeys(weights, 0)
+    assert len(order) > 3000 and len(weights) == 85
+    for t, s in enumerate(order):
+        seen[s] += 1
+        assert abs(seen[s] - weights[s] / total * (t + 1)) < 1 + 1e-6
+        assert abs(seen["hot"] - weights["hot"] / total * (t + 1)) < 1 + 1e-6
+
+
 def test_mixed_documents_are_all_there_in_order(spark, larger):
     out = [r["doc_id"] for r in mixing.mixed_documents(larger).collect()]
     places = {r["doc_id"]: r["position"] for r in mixing.mix_sources(larger).collect()}
