@@ -11,6 +11,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,9 @@ FORMATS = (
 LEAST_TOTAL, LEAST_EACH = 12.0, 0.35
 #: Probability of a transition that the training never saw.
 UNSEEN = 1e-5
+#: Inside a candidate, credentials may start after these characters or at a format's mark, and end before these.
+STARTS = re.compile(r"(?<=[=/.+])|(?=" + "|".join(re.escape(parts[0]) for _, parts in FORMATS if isinstance(parts[0], str)) + ")")
+ENDS = re.compile(r"[=/.+-]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -214,15 +218,20 @@ class Formats:
             if kind in samples and len(found) >= 20:
                 samples[kind] = [*found[:most], *samples[kind][: most // 2]]
         self.known = {kind: Automaton(s) for kind, s in samples.items()}
+        self.longest = max(len(x) for s in samples.values() for x in s)
         self.ordinary = [_Background(s) for s in ordinary_samples(400).values()]
 
     def kind_of(self, token: str) -> str | None:
         """The likeliest format if it beats every background by enough, else None."""
+        return self.lead_of(token)[1]
+
+    def lead_of(self, token: str) -> tuple[float, str | None]:
+        """By how many nats the likeliest format beats every background, and the format if that is enough."""
         seen, classes = symbols(token), symbols("0000" + token)[4:]
         kind, best = max(((k, a.score(seen)) for k, a in self.known.items()), key=lambda x: x[1])
         over = best - max(b.score(classes) for b in self.ordinary)
         # literal first symbols cost a format more than a class does
-        return kind if over >= LEAST_TOTAL and over >= LEAST_EACH * len(token) else None
+        return over, kind if over >= LEAST_TOTAL and over >= LEAST_EACH * len(token) else None
 
 
 def labelled_credentials(docs: DataFrame, most_docs: int = 4000) -> dict[str, list[str]]:
@@ -252,16 +261,38 @@ class Scanner:
         self.order = {k: i for i, k in enumerate([*BASE_KINDS, *learnt.known])}
 
     def __call__(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-        """(start, end, kind) of the base spans and of the added ones; a candidate that overlaps a base span is not added."""
+        """(start, end, kind) of the base spans and of the added ones: of each run the likeliest parts that overlap no base span."""
         base = base_spans(text)
         more = []
         for m in CANDIDATE.finditer(text):
-            token = m[0].rstrip(".-=")
-            start, end = m.start(), m.start() + len(token)
-            if len(token) >= 20 and any(c in DIGIT for c in token) and not any(s < end and start < e for s, e, _ in base) and (kind := self.learnt.kind_of(token)):
-                more.append((start, end, kind))
+            run, at, scored = m[0], m.start(), []
+            if not any(c in DIGIT for c in run):
+                continue
+            near = [(s - at, e - at) for s, e, _ in base if s < m.end() and at < e]
+            for i, j in self.parts(run):
+                if any(c in DIGIT for c in run[i:j]) and not any(s < j and i < e for s, e in near):
+                    over, kind = self.learnt.lead_of(run[i:j])
+                    if kind:
+                        scored.append((-over, i, j, kind))
+            taken = []
+            for _, i, j, kind in sorted(scored):
+                if not any(s < j and i < e for s, e, _ in taken):
+                    taken.append((i, j, kind))
+            more += [(at + i, at + j, kind) for i, j, kind in sorted(taken)]
         return [(s, e, BASE_KINDS[k]) for s, e, k in base], more
 
+    def parts(self, run: str) -> list[tuple[int, int]]:
+        """The whole run, and what may be a credential glued to something in it: no longer than the longest learnt one."""
+        starts = sorted({0, *(m.start() for m in STARTS.finditer(run))})
+        ends = [*(m.start() for m in ENDS.finditer(run)), len(run)]
+        found = {(0, len(run.rstrip(".-=")))}
+        for i in starts:
+            for j in ends[bisect_left(ends, i + 20) :]:
+                if j - i > self.learnt.longest:
+                    break
+                found.add((i, i + len(run[i:j].rstrip(".-="))))
+        return sorted((i, j) for i, j in found if j - i >= 20)
+
     def joined(self, spans: list[tuple[int, int, str]]) -> str:
         return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], self.order[x[2]])))
 
@@ -270,9 +301,9 @@ def scan_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """The secrets of each row of docs (doc_id, text).
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_added (spans that
-    the automata add to the base rules). Spans count code points, the end exclusive. A
-    null text counts as empty: no spans, the digest of nothing. A candidate that overlaps
-    a base span is not added again. Each input row gives one row; equal rows give equal
+    the automata add to the base rules, also inside a URL, an assignment or a path). Spans count code points, the end exclusive. A
+    null text counts as empty: no spans, the digest of nothing. What overlaps a base span
+    is not added again. Each input row gives one row; equal rows give equal
     results; further columns are ignored.
     """
     rows = pick(docs, "doc_id", "text")

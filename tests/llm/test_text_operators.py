@@ -109,6 +109,22 @@ def test_formats_tell_credentials_from_text():
     assert not any(formats.kind_of(s) for found in secrets.ordinary_samples(200, seed=98).values() for s in found if len(s) >= 20)
 
 
+@pytest.mark.parametrize(("before", "after"), [("https://", "@host.example/x"), ("https://host.example/a1/b?auth=", "&x=1"), ("GH=", ""), ("X.", " y"), ("/srv/keys2/", "/repo.git"), ("", "")])
+def test_glued_credentials(before, after):
+    scan = secrets.Scanner(secrets.Formats({}))
+    for kind, found in secrets.made_samples(30, seed=97).items():
+        hits = 0
+        for s in found:
+            base, more = scan(before + s + after)
+            hits += any(a <= len(before) + 1 and b >= len(before) + len(s.rstrip(".-=")) - 1 for a, b, _ in base + more)
+        assert hits >= 0.85 * len(found), (kind, hits)
+
+
+def test_glued_parts_of_ordinary_text():
+    scan = secrets.Scanner(secrets.Formats({}))
+    assert not any(scan(s)[1] for found in secrets.ordinary_samples(400, seed=96).values() for s in found)
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, 'a token = "abcdef0123456789abcdef0123456789" z ghp_' + "aB3" * 12, 99), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     out = {r["doc_id"]: r for r in secrets.masked(df).collect()}
