@@ -30,14 +30,68 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 SKIPPED = frozenset("script style noscript template textarea title select button iframe object svg math canvas video audio noframes xmp datalist".split())
+#: Those whose content is no markup: without an end they take the rest of the page.
+RAW = frozenset("script style textarea title iframe xmp noframes".split())
 ENDS_P = BLOCKS - frozenset("html body caption legend summary tbody td tfoot th thead tr dd dt li".split()) | {"li", "dd", "dt"}
 SELF_CLOSED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 SPACED = frozenset("br wbr img input hr".split())
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?|["'])*+)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)""", re.DOTALL)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_SOME_SKIPPED = re.compile("<(?:" + "|".join(sorted(SKIPPED - RAW)) + r")[\s/>]", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z]+|\d+")
-_CLOSE = {tag: re.compile(f"</{tag}[\\s/>]", re.IGNORECASE) for tag in SKIPPED}
+_CLOSE = {tag: re.compile(f"</{tag}[\\s/>]", re.IGNORECASE) for tag in RAW}
+_EMPTY = re.compile(r"(?:^|[\s\"']|=[\"'][^\"']*[\"'])/$")
+
+
+def _after_raw(source: str, name: str, at: int) -> int:
+    """Where the content and the end tag of a raw element end."""
+    end = _CLOSE[name].search(source, at)
+    close = -1 if end is None else source.find(">", end.start())
+    return len(source) if close < 0 else close + 1
+
+
+def skipped_to(source: str) -> dict[int, int]:
+    """Where each element of SKIPPED ends that is no raw one, by the end of its start tag.
+
+    An empty svg or math ends at once. One without an end tag before its block ends has no
+    entry. A button or select ends where the next one starts.
+    """
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held = dict.fromkeys(BLOCKS | SKIPPED, 0)
+
+    def back_to(name: str) -> int:
+        while True:
+            last, at = stack.pop()
+            held[last] -= 1
+            if last == name:
+                return at
+
+    at = 0
+    while (m := _TOKEN.search(source, at)) is not None:
+        at = m.end()
+        if (name := m[1]) is not None:
+            name = name.lower()
+            empty = _EMPTY.search(m[2]) is not None
+            if name in RAW:
+                if not (empty and (held["svg"] or held["math"])):
+                    at = _after_raw(source, name, at)
+            elif name in ("svg", "math") and empty:
+                ends[at] = at
+            elif name in SKIPPED:
+                if name in ("button", "select") and held[name]:
+                    back_to(name)
+                stack.append((name, at))
+                held[name] += 1
+            elif name in BLOCKS and name not in ("html", "body", "hr"):
+                stack.append((name, at))
+                held[name] += 1
+        elif (name := m[3]) is not None and held.get(name := name.lower(), 0):
+            start = back_to(name)
+            if name in SKIPPED:
+                ends[start] = at
+    return ends
 
 _TAGS = {t: i for i, group in enumerate(("article main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dd dt", "table tbody thead tfoot tr", "td th", "nav", "header", "footer", "aside", "form fieldset", "blockquote pre", "figure figcaption", "html body")) for t in group.split()}
 _N_TAGS = 19
@@ -76,26 +130,28 @@ class Page:
     def _read(self, source: str) -> None:
         stack, parts, in_link, links, at = [0], [], False, 0, 0
         search, tags = _TOKEN.search, self.tag
+        ends, passing = skipped_to(source) if _SOME_SKIPPED.search(source) else {}, False
         while (m := search(source, at)) is not None:
             if m.start() > at:
                 text = source[at : m.start()]
                 if "&" in text:
                     text = html.unescape(text)
-                parts.append(text)
-                links += len(text) if in_link else 0
+                if not passing:
+                    parts.append(text)
+                    links += len(text) if in_link else 0
             at = m.end()
             if (name := m[1]) is not None:
                 name = name.lower()
-                if name in SKIPPED:
-                    end = _CLOSE[name].search(source, at)
-                    if end is None:
-                        at = len(source)
-                    else:
-                        close = source.find(">", end.start())
-                        at = len(source) if close < 0 else close + 1
+                if name in RAW:
+                    at = _after_raw(source, name, at)
+                elif name in SKIPPED:
+                    # without an end, it has the text up to the next block
+                    passing = passing or at not in ends
+                    at = ends.get(at, at)
                 elif name == "a":
                     in_link = True
                 elif name in BLOCKS:
+                    passing = False
                     self._flush(stack[-1], parts, links)
                     links, in_link = 0, False
                     self._open(name, m[2], stack)
@@ -106,13 +162,14 @@ class Page:
                 if name == "a":
                     in_link = False
                 elif name in BLOCKS and name not in ("html", "body"):
+                    passing = False
                     self._flush(stack[-1], parts, links)
                     links, in_link = 0, False
                     for k in range(len(stack) - 1, 0, -1):
                         if tags[stack[k]] == name:
                             del stack[k:]
                             break
-        if at < len(source):
+        if at < len(source) and not passing:
             parts.append(html.unescape(source[at:]))
         self._flush(stack[-1], parts, links)
 

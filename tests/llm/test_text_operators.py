@@ -167,6 +167,24 @@ def test_page_blocks(source, runs):
     assert [t for _, t in html_text.Page(source).runs] == runs
 
 
+@pytest.mark.parametrize(
+    ("source", "runs"),
+    [
+        ("<svg width='1'/><p>a</p><math/><p>b</p><svg><path d='x'/></svg>c", ["a", "b", "c"]),
+        ("<svg><style/><text>no</text></svg><p>a", ["a"]),
+        ("<div><button>Share</div><article><p>a</p></article>", ["a"]),
+        ("<button>one<article><p>a</p></article><button>two</button><p>b", ["a", "b"]),
+        ("<select><option>x<option>y<p>a</p><p>b</p>", ["a", "b"]),
+        ("<object><object>x</object><p>y</p></object><p>a</p>", ["a"]),
+        ("<div><canvas>x</div><p>a</p><div><canvas>y</canvas>b</div>", ["a", "b"]),
+        ("<noscript><p>x</p></noscript><video src=v><p>a</p>", ["a"]),
+        ("<p>a<textarea>never closed <p>x", ["a"]),
+    ],
+)
+def test_skipped_elements_keep_what_follows(source, runs):
+    assert [t for _, t in html_text.Page(source).runs] == runs
+
+
 def test_foreign_nodes_stay_foreign():
     page = html_text.Page("<main><div><p>a</p></div></main>")
     assert page.decode(np.array([0.1, 0.9, 0.01, 0.6])) == [False, True, False, False]
