@@ -168,3 +168,9 @@ def test_pipeline(spark, small, docs):
 
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+
+
+def test_mix_of_very_many_sources(spark):
+    rows = spark.range(20_500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
+    out = mixing.mix_sources(rows).agg(F.count("*"), F.countDistinct("position"), F.countDistinct("source")).first()
+    assert tuple(out) == (20_500, 20_500, 20_500)
