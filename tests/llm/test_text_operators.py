@@ -199,3 +199,10 @@ def test_licences(spark, docs):
         want = sorted(k for k, line in lines.items() if line in d["text"])
         assert found[d["doc_id"]]["families"] == ",".join(want), d["text"][:200]
         assert found[d["doc_id"]]["n_notices"] == len(want) and (found[d["doc_id"]]["score"] > 0.5) == bool(want)
+
+
+def test_repeated_notices_count(spark, docs):
+    line = "Released under the MIT License."
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(3000, f"{line}\nA text.\n{line}\n\n{line}")], "doc_id long, text string"))
+    found = licenses.scan_licenses(both).where("doc_id = 3000").first()
+    assert found["n_notices"] == 3 and found["families"] == "MIT"
