@@ -14,7 +14,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,19 +46,29 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(n) for n, i in at.items()])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read back, which ends the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. In local mode a temporary folder will do where it is unset; a cluster must name one that all machines see."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="checkpoints-")
 
-    The folder is spark.checkpoint.dir. Where a session has none (local tests), a
-    temporary folder is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder and read back, which ends the lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def one_each(df: DataFrame, key: str, *by: str) -> DataFrame:
+    """One row for each value of key, the same however the rows are dealt out: the first by the other columns named and a hash of all that can be hashed. Rows without a key stay."""
+    hashed = [n for n, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*by, F.xxhash64(*hashed)))
+    return df.withColumn("_first", first).where((F.col("_first") == 1) | F.col(key).isNull()).drop("_first")
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text modulo the number of folds; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds)).cast("int")
