@@ -1,15 +1,18 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits that differ in at most two bits share at least six of their
-eight bytes, whatever the bits. The index holds each distinct fingerprint under six
-postings, one for every two of its four byte pairs; one of them is shared by any such
-two fingerprints. Along a posting the shared positional bytes of a pair are tallied,
-pairs with fewer than six are dropped, and the rest are verified on the bits.
+eight bytes, whatever the bits. The index holds each distinct fingerprint under 14
+postings of four positional bytes each: the sets of four of the positions 0 to 7 whose
+exclusive or is zero. Any six positions hold three of these sets, any five hold one at
+most. So the number of postings that a pair shares tallies its shared positional bytes:
+pairs with fewer than three share five bytes or fewer and are dropped, and the rest are
+verified on the bits.
 
 Postings with many members are not paired: their members are indexed under themselves
 and their 64 one-bit variants instead. Two fingerprints share such a key exactly if they
 differ in at most two bits, and no key can have more than 65 distinct members, so the
-links found stay the same and grow with the members only.
+links found stay the same and grow with the members only. A pair that shares any such
+posting is found there; a pair that shares none has its whole tally from the others.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ from lakeweave.llm.common import arrow_map, cut, pick
 from lakeweave.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Bits in which linked fingerprints may differ, and the bytes that they then share at least.
-MOST_BITS, LEAST_BYTES = 2, 6
+#: Bits in which linked fingerprints may differ.
+MOST_BITS = 2
+#: Byte positions of each posting, and how many postings two fingerprints with six equal bytes share at least.
+POSTINGS = tuple(p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0)
+LEAST_SHARED = 3
 #: Members of a posting up to which they are paired.
 PAIRED = 48
 
@@ -68,26 +74,25 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
-def _bytes_shared(x: Column) -> Column:
-    """How many of the eight bytes of a difference are zero."""
-    return sum((F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
-
-
-def _pair(k: int) -> Column:
-    return F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
+def _posting(slot: int) -> Column:
+    """The posting's number and its four bytes, in one long."""
+    byte = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))
+    key = F.lit(slot).cast("long")
+    for k in POSTINGS[slot]:
+        key = F.shiftleft(key, 8).bitwiseOR(byte(k))
+    return key
 
 
 def links(nodes: DataFrame, paired: int = PAIRED) -> DataFrame:
     """Links (a, b) that join all nodes (node, fp: distinct fingerprints) at two differing bits or fewer."""
-    keys = [F.struct(F.lit(i).alias("slot"), F.shiftleft(_pair(p), 16).bitwiseOR(_pair(q)).alias("bytes")) for i, (p, q) in enumerate(combinations(range(4), 2))]
-    postings = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key")).select("node", "fp", "key.slot", "key.bytes")
-    sizes = postings.groupBy("slot", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    postings = cut(postings.join(sizes, ["slot", "bytes"]))
+    postings = nodes.select("node", "fp", F.explode(F.array(*map(_posting, range(len(POSTINGS))))).alias("key"))
+    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    postings = cut(postings.join(sizes, "key"))
 
-    few = postings.where(F.col("n") <= paired).groupBy("slot", "bytes").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("m"))
+    few = postings.where(F.col("n") <= paired).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("m"))
     first = few.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    x = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    close = first.where(_bytes_shared(x) >= LEAST_BYTES).where(F.bit_count(x) <= MOST_BITS).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    tallied = first.groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
+    close = tallied.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MOST_BITS).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     variants = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
     many = postings.where(F.col("n") > paired).select("node", "fp").distinct().select("node", F.explode(variants).alias("key"))
@@ -109,19 +114,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, paired: int = PAIRED) -> Da
     found = connected_components(links(nodes, paired))
     roots = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(roots, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of docs, all columns, without those near_duplicates() puts behind a smaller doc_id.
-
-    Rows of one doc_id are one document, of which one row stays. Rows without a doc_id stay.
-    """
-    found = cut(near_duplicates(docs, words).select("doc_id", "component_id"))
-    places = [f"c{i}" for i in range(len(docs.columns))]
-    plain, key = docs.toDF(*places), places[docs.columns.index("doc_id")]
-    behind = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    kept = plain.join(behind, key, "left_anti")
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1)
-    if repeated.count():
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
-    return kept.select(*places).toDF(*docs.columns)

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -82,7 +83,17 @@ def test_components(spark):
     assert connected_components(edges.where("false")).count() == 0
 
 
-def test_drop_keeps_one_of_each_group(spark, docs):
-    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()]
-    roots = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert sorted(kept) == sorted(roots)
+def test_postings_tally_shared_bytes():
+    """Six equal bytes share three postings at least, five or fewer share one at most, whichever they are."""
+    assert len(simhash.POSTINGS) == 14
+    for n in range(9):
+        for equal in combinations(range(8), n):
+            shared = sum(set(p) <= set(equal) for p in simhash.POSTINGS)
+            assert shared >= simhash.LEAST_SHARED if n >= 6 else shared <= 1
+
+
+def test_pairs_under_the_tally_are_dropped(spark):
+    """Equal in four bytes of one posting only: such a pair is met, counted once and dropped before the bits are compared."""
+    a, b = 0x1111111111111111, 0x1111111122222222
+    df = spark.createDataFrame([(0, a), (1, b), (2, a ^ 1), (3, b ^ 0x8000)], "node long, fp long")
+    assert {(r["a"], r["b"]) for r in simhash.links(df).collect()} == {(0, 2), (1, 3)}
