@@ -1,17 +1,20 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
-A paragraph's pieces (runs of a few words, cut after clause marks and final n, s, t or a, so
-that where they end depends on nearby letters only) are hashed into wide vectors
-that are summed lane by lane modulo a power of two. The sum does not depend on order, and
-paragraphs are inserted or deleted by adding or subtracting their vectors. There are two
-kinds of lanes:
-
-* eight of 32 bits, from whole paragraphs, which decide equality;
-* 63 of 21 bits, packed three to a long, that count how often a hash bit is set among the
-  pieces. Twice that count less the number of pieces is a sum of random signs, so the
-  squared distance of two such vectors estimates how many pieces the texts don't share.
-
-Only DataFrame functions are used.
+A paragraph's pieces are hashed into wide vectors that are summed lane by lane modulo a
+power of two. The sum does not depend on order, and paragraphs are inserted or deleted by
+adding or subtracting their vectors. Pieces are runs of a few words, cut after clause
+marks and after words that end in n, s, t or a, so that where they end depends on nearby
+letters only; what is longer without such an end, in scripts without spaces say, gives its
+runs of four characters. There are two kinds of lanes, all of 32 bits:
+
+* eight from whole paragraphs, by hashes of four different seeds, which decide equality;
+* 63 that count how often a hash bit is set among the pieces. Twice that count less the
+  number of pieces is a sum of random signs, so the squared distance of two such vectors
+  estimates how many pieces the texts don't share.
+
+Counts are packed three to a long, 21 bits each, while a part of a text is summed, and
+taken apart before the parts are added, so no text is too long for them. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.common import pick
 
-#: Equality lanes and their modulus; packed likeness lanes, their bits and their mask.
+#: Equality lanes, and the modulus of all lanes.
 WIDE, MODULUS = 8, 1 << 32
-PACKED, LANE_BITS, PER_LONG = 21, 21, 3
+#: While a part of a text is summed: longs, lanes in each, bits of a lane, and units of a part.
+PACKED, PER_LONG, LANE_BITS, PART_UNITS = 21, 3, 21, 1 << 20
+LANES, LANE = PACKED * PER_LONG, (1 << LANE_BITS) - 1
 MASK = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
-LANE = (1 << LANE_BITS) - 1
+#: Characters that a piece may have before it is taken in runs of RUN.
+LONGEST, RUN = 48, 4
 #: Rows that one range of ids holds about.
 RANGE_ROWS = 4096
 #: Ranges at most; beyond MOST_RANGES * RANGE_ROWS rows the ranges grow instead.
@@ -33,36 +39,47 @@ MOST_RANGES = 1 << 15
 _LEAST = -(1 << 63)
 
 
+def _runs(piece: Column) -> Column:
+    """A long piece as its runs of RUN neighbouring characters."""
+    chars = F.split(piece, "")
+    n = F.size(chars) - (RUN - 1)
+    joined = F.slice(chars, 1, n)
+    for k in range(1, RUN):
+        joined = F.zip_with(joined, F.slice(chars, k + 1, n), lambda a, b: F.concat(a, b))
+    return joined
+
+
 def _units(text: Column) -> Column:
     """Paragraphs (whole, true) and their pieces (whole, false); blank ones are left out."""
     paragraphs = F.filter(F.split(text, "\n"), lambda p: p != "")
-    pieces = F.filter(F.split(text, r"\n|(?<=[.!?|,;:*$%&#nsta])\s+"), lambda p: p != "")
+    pieces = F.filter(F.split(text, r"\n|(?<=[.!?|,;:*$%&#nsta])\s+|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"), lambda p: p != "")
+    long = lambda p: F.length(p) > LONGEST
+    pieces = F.when(F.exists(pieces, long), F.concat(F.filter(pieces, lambda p: ~long(p)), F.flatten(F.transform(F.filter(pieces, long), _runs)))).otherwise(pieces)
     tag = lambda a, whole: F.transform(a, lambda p: F.struct(p.alias("part"), F.lit(whole).alias("whole")))
     return F.concat(tag(paragraphs, True), tag(pieces, False))
 
 
-def _summed(units: DataFrame, keys: list[str]) -> DataFrame:
-    """The vector v (wide, lanes, n) of each group of exploded units (keys, u)."""
+def _summed(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """The vector v (wide, lanes, n) of the text of each row; keys tell rows apart."""
+    units = rows.select(*keys, F.posexplode_outer(_units(text)).alias("at", "u"))
     part, whole = F.col("u.part"), F.col("u.whole")
-    hashes = [F.when(whole, F.xxhash64(part, F.lit(k))).alias(f"h{k}") for k in range(WIDE // 2)]
-    hashed = units.select(*keys, *hashes, F.when(~whole, F.xxhash64(part, F.lit(99))).alias("h"))
+    hashes = [F.when(whole, F.xxhash64(F.lit(k), part)).alias(f"h{k}") for k in range(WIDE // 2)]
+    hashed = units.select(*keys, F.expr(f"at div {PART_UNITS}").alias("chunk"), *hashes, F.when(~whole, F.xxhash64(F.lit(WIDE), part)).alias("h"))
     wide = []
     for k in range(WIDE // 2):
         wide += [F.sum(F.col(f"h{k}").bitwiseAND(F.lit(MODULUS - 1))), F.sum(F.shiftrightunsigned(f"h{k}", 32))]
-    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(MASK))) for k in range(PACKED)]
+    packed = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(MASK))) for k in range(PACKED)]
     names = [*(f"w{k}" for k in range(WIDE)), *(f"l{k}" for k in range(PACKED))]
-    sums = hashed.groupBy(*keys).agg(*[c.alias(n) for c, n in zip(wide + lanes, names, strict=True)], F.count("h").alias("n"))
-    filled = {n: F.coalesce(F.col(n), F.lit(0)) for n in names}
-    return sums.select(
-        *keys,
-        F.struct(F.array(*[F.pmod(filled[f"w{k}"], F.lit(MODULUS)) for k in range(WIDE)]).alias("wide"), F.array(*[filled[f"l{k}"] for k in range(PACKED)]).alias("lanes"), F.col("n")).alias("v"),
-    )
+    parts = hashed.groupBy(*keys, "chunk").agg(*[c.alias(n) for c, n in zip(wide + packed, names, strict=True)], F.count("h").alias("n"))
+    lane = lambda i: F.shiftrightunsigned(f"l{i % PACKED}", i // PACKED * LANE_BITS).bitwiseAND(F.lit(LANE))
+    sums = parts.groupBy(*keys).agg(*[F.sum(F.pmod(f"w{k}", F.lit(MODULUS))).alias(f"w{k}") for k in range(WIDE)], *[F.sum(lane(i)).alias(f"x{i}") for i in range(LANES)], F.sum("n").alias("n"))
+    array = lambda name, n: F.array(*[F.pmod(F.coalesce(F.col(f"{name}{k}"), F.lit(0)), F.lit(MODULUS)) for k in range(n)])
+    return sums.select(*keys, F.struct(array("w", WIDE).alias("wide"), array("x", LANES).alias("lanes"), F.col("n")).alias("v"))
 
 
 def _signs(v: Column) -> Column:
     """The sums of signs of a vector (wide, lanes, n)."""
-    lane = lambda x, j: (F.shiftright(x, j * LANE_BITS).bitwiseAND(F.lit(LANE)) * 2 - v["n"]).cast("double")
-    return F.flatten(F.transform(v["lanes"], lambda x: F.array(*[lane(x, j) for j in range(PER_LONG)])))
+    return F.transform(v["lanes"], lambda x: (x * 2 - v["n"]).cast("double"))
 
 
 def _square(a: Column) -> Column:
@@ -80,19 +97,18 @@ def likeness(a: Column, b: Column) -> Column:
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The vector of the union of two multisets of paragraphs, or with sign -1 of the difference."""
     add = lambda x, y: x + y if sign > 0 else x - y
-    return F.struct(F.zip_with(a["wide"], b["wide"], lambda x, y: F.pmod(add(x, y), F.lit(MODULUS))).alias("wide"), F.zip_with(a["lanes"], b["lanes"], add).alias("lanes"), add(a["n"], b["n"]).alias("n"))
+    lanes = lambda name: F.zip_with(a[name], b[name], lambda x, y: F.pmod(add(x, y), F.lit(MODULUS))).alias(name)
+    return F.struct(lanes("wide"), lanes("lanes"), add(a["n"], b["n"]).alias("n"))
 
 
 def printed(v: Column) -> Column:
     """The vector as lower-case hex: equality lanes, likeness lanes, number of pieces."""
-    wide = F.array_join(F.transform(v["wide"], lambda x: F.lpad(F.hex(x), 8, "0")), "")
-    lanes = F.array_join(F.transform(v["lanes"], lambda x: F.lpad(F.hex(x), 16, "0")), "")
-    return F.lower(F.concat(wide, lanes, F.lpad(F.hex(v["n"]), 8, "0")))
+    return F.lower(F.array_join(F.transform(F.concat(v["wide"], v["lanes"], F.array(v["n"])), lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key and the vector v of the text of each row; key must tell rows apart."""
-    return _summed(rows.select(key, F.explode_outer(_units(F.coalesce(F.col(text), F.lit("")))).alias("u")), [key])
+    return _summed(rows, [key], F.coalesce(F.col(text), F.lit("")))
 
 
 def _ranges(rows: DataFrame) -> tuple[list[int], int]:
@@ -122,7 +138,7 @@ def with_next(rows: DataFrame) -> tuple[DataFrame, Window]:
 
     Adds part (the range) and copy (true for copied rows, which order after all others of
     the range). Texts are dealt out once, by part, so that what follows a row stands in its
-    own part: no window spans all rows.
+    own part: no window spans all rows. A null k or text may not occur.
     """
     starts, least = _ranges(rows)
     heads = [least, *starts]
@@ -152,11 +168,11 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     placed = spread.withColumn("next", F.lead("text").over(order)).withColumn("at", F.row_number().over(order))
     placed = placed.select("part", "at", "copy", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
     texts = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.when(~F.col("copy"), F.col("edited")).otherwise("").alias("t")))
-    keys = ["part", "at", "which", "copy", "doc_id", "n_chars", "edited_sha256"]
-    each = placed.select("part", "at", "copy", "doc_id", "n_chars", "edited_sha256", F.explode(texts).alias("x")).withColumn("which", F.col("x.which"))
-    sums = _summed(each.select(*keys, F.explode_outer(_units(F.col("x.t"))).alias("u")), keys)
+    keys = ["part", "nth", "which", "copy", "doc_id", "n_chars", "edited_sha256"]
+    each = placed.select(F.col("part"), F.col("at").alias("nth"), "copy", "doc_id", "n_chars", "edited_sha256", F.explode(texts).alias("x")).withColumn("which", F.col("x.which"))
+    sums = _summed(each, keys, F.col("x.t"))
     # in order: a text, its edited text, the next text
-    order = Window.partitionBy("part").orderBy("at", "which")
+    order = Window.partitionBy("part").orderBy("nth", "which")
     after = sums.withColumn("w", F.lead("v", 1).over(order)).withColumn("x", F.lead("v", 2).over(order)).where((F.col("which") == 0) & ~F.col("copy"))
     v, w, x = F.col("v"), F.col("w"), F.col("x")
     return after.select("doc_id", "n_chars", "edited_sha256", printed(v).alias("fingerprint"), printed(w).alias("edited_fingerprint"), likeness(v, w).alias("near_edited"), likeness(v, x).alias("near_next"))

@@ -1,10 +1,12 @@
 """Learnt models on held-out rows, fingerprints, mixing, and the pipeline as a whole."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -105,6 +107,48 @@ def test_multiset_arithmetic(spark):
     assert minus == v[2]
 
 
+def plain_vector(text):
+    """The fingerprint word for word."""
+    mixed = lambda k, part: xxhash.xxh64(part.encode(), seed=xxhash.xxh64(k.to_bytes(4, "little"), seed=42).intdigest()).intdigest()
+    paragraphs = [p for p in text.split("\n") if p]
+    pieces = [p for p in re.split(r"\n|(?<=[.!?|,;:*$%&#nsta])[ \t\n\x0b\f\r]+|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])", text) if p]
+    pieces = [x for p in pieces for x in ([p] if len(p) <= 48 else [p[i : i + 4] for i in range(len(p) - 3)])]
+    lanes = []
+    for k in range(4):
+        h = [mixed(k, p) for p in paragraphs]
+        lanes += [sum(x & 0xFFFFFFFF for x in h), sum(x >> 32 for x in h)]
+    h = [mixed(8, p) for p in pieces]
+    lanes += [sum(x >> i % 21 + i // 21 * 21 & 1 for x in h) for i in range(63)]
+    return "".join(f"{x % 2**32:08x}" for x in [*lanes, len(h)])
+
+
+def test_fingerprints_by_hand(spark, docs):
+    texts = [r["text"] for r in docs.collect()][:60] + ["", "\n\n", "one line", "今天天气很好，我们去公园。明天不去！", "ก" * 300, "x" * 49, "x" * 48, "a  b\nb s  c", "tab t\tand s\x0bv"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["fingerprint"] for r in multiset_hash.document_fingerprints(df).collect()}
+    assert found == {i: plain_vector(t) for i, t in enumerate(texts)}
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    """Five million pieces, all alike; the longest lanes hold what 21 bits do not."""
+    texts = ["a " * 5_000_000, "b s\n" * 400_000, "x" * 600_000, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    rows = {r["doc_id"]: r for r in multiset_hash.document_fingerprints(df).collect()}
+    n = [int(rows[i]["fingerprint"][-8:], 16) for i in range(4)]
+    assert n == [5_000_000, 400_000, 599_997, 0]
+    assert {int(rows[0]["fingerprint"][64 + 8 * i : 72 + 8 * i], 16) for i in range(63)} == {0, 5_000_000}
+    assert rows[0]["n_chars"] == 10_000_000 and rows[3]["near_edited"] == 1.0
+    assert rows[1]["fingerprint"] == plain_vector(texts[1])
+
+
+def test_likeness_in_any_script(spark):
+    """Half of a text without spaces or marks is shared with its edited text, nothing with the next one."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(low, low + 4000, 3000))) for low in (0x4E00, 0xAC00, 0x4E00, 0xAC00)]
+    rows = multiset_hash.document_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(0.25 < r["near_edited"] < 0.8 and r["near_next"] < 0.3 for r in rows)
+
+
 def test_fingerprints_are_native(docs):
     plan = multiset_hash.document_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan
