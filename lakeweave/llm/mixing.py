@@ -7,6 +7,7 @@ blocks takes each slot. Each source then stays within one block of its share at
 Weights are taken as they are, as whole numbers in the same proportion, so nothing is
 rounded. One worker deals the slots from the table of sources, keeps one entry for each
 source and writes a row for each block; each row of the data finds its block from its rank.
+Blocks grow with the table beyond MOST_BLOCKS of them, so that worker's part does not.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.common import arrow_map, cut, pick
 
-#: Rows of a block, and blocks of the plan in a batch.
-BLOCK_ROWS, BATCH = 16, 50_000
+#: Rows of a block, blocks of all sources at most (larger tables have larger blocks), and blocks of the plan in a batch.
+BLOCK_ROWS, MOST_BLOCKS, BATCH = 16, 4_000_000, 50_000
 #: Ids that are ranked together, about, and the parts that a source is dealt to at least.
 RANKED, LEAST_PARTS = 4096, 256
 
@@ -136,7 +137,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     sources that it lacks get the mean weight. Phase `target` keeps to the weights until the
     first source has no block left; what then remains follows in phase `rest`, interleaved
     in proportion to the blocks left, so that no row is lost. A null source is a source of
-    its own. In each phase a source is less than a block away from its share. With a cycle,
+    its own. A block has block_rows rows, or so many more that there are about MOST_BLOCKS at
+    most. In each phase a source is less than a block away from its share. With a cycle,
     weights are rounded to whole slots of so many first, at least one for each source. Each
     input row gives one row; rows of one id lie side by side; an empty table gives an empty
     result.
@@ -145,8 +147,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     rows = pick(docs, "doc_id", "source").select("doc_id", key.alias("source"))
     sizes = cut(rows.groupBy("source").count())
     given = {f"={s}" if s is not None else "": w for s, w in (weights or {}).items()}
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    block_rows = max(block_rows, -(-total // MOST_BLOCKS))
     plan = cut(_plan(sizes, given, power, block_rows, cycle))
-    ranked = _ranked(rows, sizes.agg(F.sum("count")).first()[0] or 0)
+    ranked = _ranked(rows, total)
     block = ranked.select("doc_id", "source", F.expr(f"rank div {block_rows}").alias("block"), (F.col("rank") % block_rows).alias("in_block"))
     out = block.join(plan, ["source", "block"])
     name: Column = F.when(F.col("source") != "", F.substr("source", F.lit(2)))

@@ -195,6 +195,14 @@ def test_mix_keeps_to_the_given_weights(spark):
         assert abs(seen["hot"] - weights["hot"] / total * (t + 1)) < 1 + 1e-6
 
 
+def test_blocks_grow_with_the_table(spark, larger, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 40)
+    rows = mixing.mix_sources(larger, block_rows=2).collect()
+    n = len(rows)
+    assert n == larger.count() and max(r["in_block"] for r in rows) == -(-n // 40) - 1
+    assert len({r["position"] for r in rows}) == n and len({(r["source"], r["block"]) for r in rows}) <= 40 + len({r["source"] for r in rows})
+
+
 def test_mixed_documents_are_all_there_in_order(spark, larger):
     out = [r["doc_id"] for r in mixing.mixed_documents(larger).collect()]
     places = {r["doc_id"]: r["position"] for r in mixing.mix_sources(larger).collect()}
