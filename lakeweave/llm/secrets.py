@@ -32,15 +32,17 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # Published formats as (kind, [(literal) or (alphabet, least, most), ...]).
 FORMATS = (
-    ("access_key", ["AKIA", (UPPER + DIGIT, 16, 16)]),
     ("git_token", ["ghp_", (LOWER + UPPER + DIGIT, 36, 36)]),
+    ("git_fine_token", ["github_pat_", (LOWER + UPPER + DIGIT, 22, 22), "_", (LOWER + UPPER + DIGIT, 59, 59)]),
+    ("package_token", ["npm_", (LOWER + UPPER + DIGIT, 36, 36)]),
     ("chat_token", ["xoxb-", (DIGIT, 11, 13), "-", (DIGIT, 11, 13), "-", (LOWER + UPPER + DIGIT, 24, 24)]),
     ("cloud_key", ["AIza", (LOWER + UPPER + DIGIT + "_-", 35, 35)]),
     ("payment_key", ["sk_live_", (LOWER + UPPER + DIGIT, 24, 34)]),
     ("signed_token", ["eyJ", (LOWER + UPPER + DIGIT, 20, 60), ".eyJ", (LOWER + UPPER + DIGIT, 20, 80), ".", (LOWER + UPPER + DIGIT + "_-", 30, 50)]),
-    ("hex_key", [(DIGIT + "abcdef", 32, 64)]),
 )
 
+#: The kind of credential that is learnt from the values of assignments in the texts themselves, and how many that takes.
+ASSIGNED, LEAST_LABELLED = "assigned_value", 20
 #: A format wins with this many nats over the best background in all, and a character.
 LEAST_TOTAL, LEAST_EACH = 12.0, 0.35
 #: Probability of a transition that the training never saw.
@@ -214,9 +216,7 @@ class Formats:
 
     def __init__(self, labelled: dict[str, list[str]], most: int = 120):
         samples = made_samples(most)
-        for kind, found in labelled.items():
-            if kind in samples and len(found) >= 20:
-                samples[kind] = [*found[:most], *samples[kind][: most // 2]]
+        samples |= {kind: found[:most] for kind, found in labelled.items() if len(found) >= LEAST_LABELLED}
         self.known = {kind: Automaton(s) for kind, s in samples.items()}
         self.longest = max(len(x) for s in samples.values() for x in s)
         self.ordinary = [_Background(s) for s in ordinary_samples(400).values()]
@@ -234,23 +234,16 @@ class Formats:
         return over, kind if over >= LEAST_TOTAL and over >= LEAST_EACH * len(token) else None
 
 
-def labelled_credentials(docs: DataFrame, most_docs: int = 4000) -> dict[str, list[str]]:
-    """Credentials that the base rules label in a bounded sample of docs (expected most_docs rows)."""
+def labelled_credentials(docs: DataFrame, most_docs: int = 4000, most: int = 2000) -> dict[str, list[str]]:
+    """Values of 20 characters or more with a digit that assignments label as secret in a bounded sample of docs (expected most_docs rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, values = [], []
-            for text in batch.column(1).to_pylist():
-                for start, end, k in base_spans(text or "") if text else ():
-                    value = text[start:end]
-                    if k:
-                        kinds.append("access_key" if k == 1 else "hex_key")
-                        values.append(value)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string())})
+            values = [m[2] for text in batch.column(1).to_pylist() if text for m in ASSIGN.finditer(text) if 20 <= len(m[2]) <= 128 and any(c in DIGIT for c in m[2])]
+            yield pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})
 
-    found = arrow_map(bounded(docs, "doc_id", most_docs), run, "kind string, value string").where(F.length("value") <= 128)
-    rows = found.groupBy("kind", "value").count().orderBy("kind", "value").limit(2000).collect()
-    return {kind: [r["value"] for r in rows if r["kind"] == kind] for kind in ("access_key", "hex_key")}
+    found = arrow_map(bounded(docs, "doc_id", most_docs), run, "value string").distinct()
+    return {ASSIGNED: [r["value"] for r in found.orderBy(F.xxhash64("value"), "value").limit(most).collect()]}
 
 
 class Scanner:
@@ -266,11 +259,9 @@ class Scanner:
         more = []
         for m in CANDIDATE.finditer(text):
             run, at, scored = m[0], m.start(), []
-            if not any(c in DIGIT for c in run):
-                continue
             near = [(s - at, e - at) for s, e, _ in base if s < m.end() and at < e]
             for i, j in self.parts(run):
-                if any(c in DIGIT for c in run[i:j]) and not any(s < j and i < e for s, e in near):
+                if not any(s < j and i < e for s, e in near):
                     over, kind = self.learnt.lead_of(run[i:j])
                     if kind:
                         scored.append((-over, i, j, kind))
