@@ -29,7 +29,7 @@ BLOCKS = frozenset(
     "html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template textarea title select button iframe object svg math canvas video audio noframes xmp datalist".split())
+SKIPPED = frozenset("script style noscript template textarea title select button iframe object svg canvas video audio noframes xmp datalist".split())
 #: Those whose content is no markup: without an end they take the rest of the page.
 RAW = frozenset("script style textarea title iframe xmp noframes".split())
 ENDS_P = BLOCKS - frozenset("html body caption legend summary tbody td tfoot th thead tr dd dt li".split()) | {"li", "dd", "dt"}
@@ -54,7 +54,7 @@ def _after_raw(source: str, name: str, at: int) -> int:
 def skipped_to(source: str) -> dict[int, int]:
     """Where each element of SKIPPED ends that is no raw one, by the end of its start tag.
 
-    An empty svg or math ends at once. One without an end tag before its block ends has no
+    An empty svg ends at once. One without an end tag before its block ends has no
     entry. A button or select ends where the next one starts.
     """
     ends: dict[int, int] = {}
@@ -75,9 +75,9 @@ def skipped_to(source: str) -> dict[int, int]:
             name = name.lower()
             empty = _EMPTY.search(m[2]) is not None
             if name in RAW:
-                if not (empty and (held["svg"] or held["math"])):
+                if not (empty and held["svg"]):
                     at = _after_raw(source, name, at)
-            elif name in ("svg", "math") and empty:
+            elif name == "svg" and empty:
                 ends[at] = at
             elif name in SKIPPED:
                 if name in ("button", "select") and held[name]:
@@ -305,7 +305,8 @@ def extract_text(pages: DataFrame, at_once: int = 128) -> DataFrame:
 
     Returns page_id, url, text and n_chars (code points). Character references are decoded;
     white space inside a block becomes one space; blocks follow in page order, joined by a
-    line feed. A null or empty page, and one without main text, gives an empty text. Each
+    line feed. Buttons, selections, graphics, media and what stands in for scripts are no text;
+    formulas are. A null or empty page, and one without main text, gives an empty text. Each
     input row gives one row; equal pages give equal texts; further columns are ignored.
     """
     rows = pick(pages, "page_id", "url", "html")
