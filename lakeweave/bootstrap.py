@@ -16,4 +16,4 @@ def bootstrap(spark: SparkSession, root: str, shard_path: str, shards: int = 11,
     build_shards(spark, lambda name: spark.read.parquet(paths[name]), tree, shards, shard_path, overwrite=overwrite)
     if user and user_file:
         create_user(user_file, *user)
-    return Engine(spark, root, shard_path)
+    return Engine(spark, root, shard_path, user_file=user_file, token=":".join(user) if user else "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Strftime directives and the Spark date patterns for them.
@@ -21,6 +21,17 @@ def strftime(at: Column, pattern: str) -> Column:
     return F.date_format(at, out)
 
 
+def register_functions(spark: SparkSession) -> None:
+    """Makes strftime a temporary SQL function: a date or timestamp and a pattern, in either order.
+
+    The pattern may hold the directives above and characters that are no letters.
+    """
+    pattern = "if(contains(a, '%'), a, b)"
+    for directive, letters in _DIRECTIVES.items():
+        pattern = f"replace({pattern}, '%{directive}', '{letters}')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION strftime(a STRING, b STRING) RETURNS STRING RETURN date_format(CAST(if(contains(a, '%'), b, a) AS TIMESTAMP), {pattern})")
+
+
 def day(text: str) -> Column:
     """A literal midnight without zone, which the Parquet reader can compare with its statistics."""
     return F.expr(f"TIMESTAMP_NTZ'{text} 00:00:00'")

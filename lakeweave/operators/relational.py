@@ -5,7 +5,7 @@ Every query here shows one operator of the engine's coverage list on the data at
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions import day, strftime
@@ -339,11 +339,37 @@ def functions_array(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.size(e).alias("n"), F.element_at(e, 1).cast("double").alias("head"), F.round(square, 4).alias("norm"), F.size(F.filter(e, lambda x: x > 0)).alias("positive"))
 
 
-def _pivoted(column: Column, value: str) -> Column:
-    return F.count_if(column == value)
-
-
 @REL("SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, COUNT(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low FROM orders GROUP BY o_orderstatus")
 def pivot_counts(t: Tables) -> DataFrame:
-    p = F.col("o_orderpriority")
-    return t.orders.groupBy("o_orderstatus").agg(_pivoted(p, "1-URGENT").alias("urgent"), _pivoted(p, "5-LOW").alias("low"))
+    wanted = t.orders.groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.count(F.lit(1)))
+    return wanted.select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).alias("urgent"), F.coalesce("5-LOW", F.lit(0)).alias("low"))
+
+
+@REL("SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region)")
+def join_natural(t: Tables) -> DataFrame:
+    a, b = t.nation.select(F.col("n_regionkey").alias("k"), "n_name"), t.region.select(F.col("r_regionkey").alias("k"), "r_name")
+    return a.join(b, [c for c in a.columns if c in b.columns])
+
+
+@REL("SELECT c_nationkey, MAP_FROM_ENTRIES(LIST((c_mktsegment, n) ORDER BY c_mktsegment))['BUILDING'] AS building, STRUCT_EXTRACT({'lo': MIN(n), 'hi': MAX(n)}, 'hi') AS most FROM (SELECT c_nationkey, c_mktsegment, COUNT(*) AS n FROM customer GROUP BY ALL) GROUP BY c_nationkey")
+def functions_map_struct(t: Tables) -> DataFrame:
+    each = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    told = each.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "n"))).alias("m"), F.struct(F.min("n").alias("lo"), F.max("n").alias("hi")).alias("s"))
+    return told.select("c_nationkey", F.try_element_at("m", F.lit("BUILDING")).alias("building"), F.col("s.hi").alias("most"))
+
+
+@REL("SELECT l_returnflag, ABS(APPROX_COUNT_DISTINCT(l_orderkey) - COUNT(DISTINCT l_orderkey)) <= 0.25 * COUNT(DISTINCT l_orderkey) AS near_distinct, ABS(APPROX_QUANTILE(l_quantity, 0.5) - MEDIAN(l_quantity)) <= 2 AS near_median FROM lineitem GROUP BY l_returnflag")
+def aggregate_approximate(t: Tables) -> DataFrame:
+    n, q = F.countDistinct("l_orderkey"), F.col("l_quantity")
+    return t.lineitem.groupBy("l_returnflag").agg((F.abs(F.approx_count_distinct("l_orderkey") - n) <= 0.25 * n).alias("near_distinct"), (F.abs(F.percentile_approx(q, 0.5) - F.median(q)) <= 2).alias("near_median"))
+
+
+@REL("SELECT COUNT(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 77)")
+def limit_without_order(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey").limit(77).agg(F.count("*").alias("n"))
+
+
+@REL("SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def set_operation_in_subquery(t: Tables) -> DataFrame:
+    rich = t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey")).subtract(t.supplier.where("s_acctbal > 5000").select("s_nationkey"))
+    return t.nation.join(rich, "n_nationkey", "left_semi").select("n_name")

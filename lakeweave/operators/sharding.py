@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions import shard_by_remainder
 from lakeweave.plans import Registry
+from lakeweave.plans.ssb import Star
 from lakeweave.plans.tpch import money
 from lakeweave.session import summarize
 from lakeweave.sources.catalog import Tables
-from lakeweave.sources.shards import ORDERS_TREE, SHARD, sharded
+from lakeweave.sources.shards import ORDERS_TREE, SHARD, STAR_TREE, sharded
 from lakeweave.streaming import windowed
 
 N = 11
@@ -56,6 +57,17 @@ def active_subset(t: Tables) -> DataFrame:
     return _dealt(t)["lineitem"].where(F.col(SHARD).isin(2, 5)).groupBy(SHARD).agg(F.count("*").alias("n"))
 
 
+@SHARDS("SELECT shard_number, COUNT(*) AS n, COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT l_suppkey) AS suppliers FROM l GROUP BY shard_number")
+def star(t: Tables) -> DataFrame:
+    """The star dealt out by customer: facts, and the parts and suppliers that they reach."""
+    of = Star(t)
+    tables = {"customer": of.people("c"), "lineorder": of.join(), "part": of.parts, "supplier": of.people("s"), "date_dim": of.orders.select("lo_orderdate", "d_year").distinct()}
+    dealt = sharded(tables.__getitem__, STAR_TREE, N, shard_by_remainder)
+    facts = dealt["lineorder"].groupBy(SHARD).agg(F.count("*").alias("n"))
+    sizes = [dealt[name].groupBy(SHARD).agg(F.count("*").alias(f"{name}s")) for name in ("part", "supplier")]
+    return facts.join(sizes[0], SHARD).join(sizes[1], SHARD)
+
+
 @STREAM("SELECT date_trunc('hour', ts) AS start, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY ALL")
 def events_hourly(t: Tables) -> DataFrame:
     return windowed(t.events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

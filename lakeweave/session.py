@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweave.functions import register_functions
 from lakeweave.plans.classify import classify, stripped
-from lakeweave.sources.catalog import register
+from lakeweave.sources.catalog import Tables, register
 from lakeweave.sources.shards import SHARD, Shards
+from lakeweave.users import authenticate
 
 MODES = ("TRUE", "FALSE", "FORCE")
 
@@ -72,7 +74,7 @@ class QueryRun:
 
     text: str
     df: DataFrame | None = None
-    mode: str = "whole"
+    mode: str = "whole"  # whole, shards (all of them together), subset (some together) or each
     reasons: list[str] = field(default_factory=list)
     status: str = "STARTED"
     problem: str | None = None
@@ -95,7 +97,8 @@ class QueryRun:
         """What to tell the user of the way the query runs."""
         if self.problem:
             return self.problem
-        return "runs shard by shard" if self.mode == "shards" else "runs over whole tables" + (f": {'; '.join(self.reasons)}" if self.reasons else "")
+        told = {"each": "runs over each shard by itself, with the rows of each", "subset": "runs over what the active shards hold, put together", "shards": "runs over all shards together, exactly, from the whole tables", "whole": "runs over whole tables"}
+        return told[self.mode] + (f": {'; '.join(self.reasons)}" if self.reasons else "")
 
 
 def summarize(parts: DataFrame, keys: list[str], aggregates: dict[str, str]) -> DataFrame:
@@ -116,11 +119,18 @@ def summarize(parts: DataFrame, keys: list[str], aggregates: dict[str, str]) ->
 
 
 class Engine:
-    """Runs SQL over the tables below root, and over shards of them where a path to built ones is given."""
+    """Runs SQL over the tables below root, and over shards of them where a path to built ones is given.
 
-    def __init__(self, spark: SparkSession, root: str, shards: str | None = None, settings: Settings | None = None):
+    With a user file, a token `name:password` that it knows is needed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, shards: str | None = None, settings: Settings | None = None, user_file: str | None = None, token: str = ""):
+        self.user = authenticate(user_file, token) if user_file else None
+        if user_file and self.user is None:
+            raise PermissionError("the user or the password is wrong")
         self.spark, self.root = spark, root
         self.settings = settings or Settings()
+        register_functions(spark)
         self.tables = register(spark, root)
         self.shards = Shards(spark, shards) if shards else None
 
@@ -132,9 +142,10 @@ class Engine:
     def sql(self, text: str) -> QueryRun:
         """A run of one SELECT statement.
 
-        Results are exact and over all rows, as Spark aggregates in two steps itself. Only
-        with summarize off, or distributed FORCE, does a query that runs by shard return the
-        rows of each shard, told apart by shard_number.
+        Results are exact and over all rows, as Spark aggregates in two steps itself. With some
+        shards active only, a query that may run by shard sees what those shards hold. With
+        summarize off, or distributed FORCE, it returns the rows of each active shard, told
+        apart by shard_number. The run's mode says which it was.
         """
         run = QueryRun(stripped(text))
         kind = classify(self.spark, run.text)
@@ -142,20 +153,38 @@ class Engine:
             run.status, run.problem = "FAILED", kind.problem
             return run
         run.mode, run.reasons = plan_distribution(self.settings, kind.has_aggregates, len(self.active()))
-        by_shard = run.mode == "shards" and (self.settings.distributed == "FORCE" or not self.settings.summarize)
-        run.df = self.per_shard(run.text) if by_shard else self.spark.sql(run.text)
+        if run.mode == "shards" and (self.settings.distributed == "FORCE" or not self.settings.summarize):
+            run.mode, run.df = "each", self.per_shard(run.text)
+        elif run.mode == "shards" and self.active() != self.shards.numbers:
+            run.mode, run.df = "subset", self.together(run.text)
+        else:
+            run.df = self.spark.sql(run.text)
         return run
 
+    def _apart(self) -> SparkSession:
+        """A session whose views no other user of this one sees, with the same settings of results."""
+        session = self.spark.newSession()
+        for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+            session.conf.set(key, self.spark.conf.get(key))
+        register_functions(session)
+        return session
+
+    def together(self, text: str) -> DataFrame:
+        """A query over what the active shards hold, as one plan."""
+        session = self._apart()
+        whole = Tables(session, self.root)
+        for name, df in Shards(session, self.shards.path).subset(lambda n: getattr(whole, n), self.active()).items():
+            df.createOrReplaceTempView(name)
+        return session.sql(text)
+
     def per_shard(self, text: str) -> DataFrame:
         """The rows of a query run over each active shard by itself, with shard_number."""
-        parts = []
-        try:
-            for number in self.active():
-                for name in self.shards.modes:
-                    self.shards.table(name, number).createOrReplaceTempView(name)
-                parts.append(self.spark.sql(stripped(text)).withColumn(SHARD, F.lit(number)))
-        finally:
-            self.tables = register(self.spark, self.root)
+        session, parts = self._apart(), []
+        shards = Shards(session, self.shards.path)
+        for number in self.active():
+            for name in shards.modes:
+                shards.table(name, number).createOrReplaceTempView(name)
+            parts.append(session.sql(stripped(text)).withColumn(SHARD, F.lit(number)))
         if not parts:
             raise ValueError("no shards are active")
         return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders whose view has another name.
@@ -15,11 +16,12 @@ class Tables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.paths = folders(spark, self.root)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name.startswith("_") or name not in self.paths:
+            raise AttributeError(f"{self.root} has no table {name}")
+        return read(self.spark, self.paths[name])
 
 
 def read(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None) -> DataFrame:
@@ -48,6 +50,11 @@ def folders(spark: SparkSession, root: str) -> dict[str, str]:
     return dict(sorted(found.items()))
 
 
+def register_arrow(spark: SparkSession, name: str, table: pa.Table) -> None:
+    """Makes an Arrow table in memory a view; it goes to Spark whole, so it is for small tables."""
+    spark.createDataFrame(table).createOrReplaceTempView(name)
+
+
 def register(spark: SparkSession, root: str, materialize: bool = False, schemas: dict[str, str] | None = None) -> list[str]:
     """Makes each table below root a view, or with materialize a managed table; returns their names. schemas has those of tables in text formats."""
     names = []

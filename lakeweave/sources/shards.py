@@ -25,13 +25,15 @@ class ShardTable(NamedTuple):
 
     Without a parent and with a key it is the root, dealt out by that key. With a parent it
     gets the rows whose key occurs as parent_key in the parent's shard, so it may overlap
-    between shards. Without either it is whole in every shard.
+    between shards; unique says that the parent has each key once. Without either it is
+    whole in every shard.
     """
 
     name: str
     key: str | None = None
     parent: str | None = None
     parent_key: str | None = None
+    unique: bool = False
 
     @property
     def mode(self) -> str:
@@ -41,7 +43,7 @@ class ShardTable(NamedTuple):
 #: Orders dealt out by customer; what they reach follows.
 ORDERS_TREE = (
     ShardTable("orders", "o_custkey"),
-    ShardTable("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ShardTable("lineitem", "l_orderkey", "orders", "o_orderkey", True),
     ShardTable("customer", "c_custkey", "orders", "o_custkey"),
     ShardTable("part", "p_partkey", "lineitem", "l_partkey"),
     ShardTable("supplier", "s_suppkey", "lineitem", "l_suppkey"),
@@ -51,7 +53,7 @@ ORDERS_TREE = (
 #: Customers dealt out by key; facts and their other dimensions follow.
 STAR_TREE = (
     ShardTable("customer", "c_custkey"),
-    ShardTable("lineorder", "lo_custkey", "customer", "c_custkey"),
+    ShardTable("lineorder", "lo_custkey", "customer", "c_custkey", True),
     ShardTable("part", "p_partkey", "lineorder", "lo_partkey"),
     ShardTable("supplier", "s_suppkey", "lineorder", "lo_suppkey"),
     ShardTable("date_dim"),
@@ -67,7 +69,8 @@ def _placed(rows: DataFrame, table: ShardTable, parent: DataFrame | None, shards
         return rows
     if parent is None:
         return rows.withColumn(SHARD, deal(F.col(table.key), shards))
-    reached = parent.select(F.col(table.parent_key).alias(table.key), SHARD).distinct()
+    reached = parent.select(F.col(table.parent_key).alias(table.key), SHARD)
+    reached = reached if table.unique else reached.distinct()
     return rows.join(reached, table.key).select(*rows.columns, SHARD)
 
 
@@ -89,8 +92,8 @@ def facts(rows: DataFrame, names: list[str]) -> DataFrame:
 def build_shards(spark: SparkSession, read: Read, tree: tuple[ShardTable, ...], shards: int, path: str, first: int = 1, last: int | None = None, overwrite: bool = False, deal: Dealer = shard_of) -> list[dict]:
     """Writes shards first..last of all tables below path, and a manifest; returns the manifest's entries.
 
-    A table is dealt to tasks by shard and a part of its hash, so that a large shard is
-    written by several tasks. Existing tables are refused unless overwrite is set.
+    Rows are brought together by shard, and Spark splits or joins the parts by their size, so
+    that a large shard is written by as many tasks as it needs. Existing tables are refused unless overwrite is set.
     """
     last = last or shards
     if not 1 <= first <= last <= shards:
@@ -105,11 +108,10 @@ def build_shards(spark: SparkSession, read: Read, tree: tuple[ShardTable, ...],
             rows.write.mode(mode).option("compression", "zstd").parquet(target)
         else:
             rows = rows.where(F.col(SHARD).between(first, last))
-            spread = F.pmod(F.xxhash64(*rows.columns), F.lit(4))
-            rows.repartition(F.col(SHARD), spread).write.mode(mode).option("compression", "zstd").partitionBy(SHARD).parquet(target)
+            rows.hint("rebalance", F.col(SHARD)).write.mode(mode).option("compression", "zstd").partitionBy(SHARD).parquet(target)
         written[table.name] = spark.read.parquet(target)
         entries += [{"table": table.name, "mode": table.mode, **r.asDict()} for r in facts(written[table.name], sorted(written[table.name].columns)).orderBy("shard").collect()]
-    head = {"shards": shards, "first": first, "last": last, "began": began, "ended": time.strftime("%Y-%m-%dT%H:%M:%S"), "spark": spark.version}
+    head = {"shards": shards, "first": first, "last": last, "began": began, "ended": time.strftime("%Y-%m-%dT%H:%M:%S"), "spark": spark.version, "tree": [t._asdict() for t in tree]}
     spark.createDataFrame([(json.dumps({**head, "entries": entries}),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/manifest")
     return entries
 
@@ -138,6 +140,7 @@ class Shards:
         self.spark, self.path = spark, path
         manifest = read_manifest(spark, path)
         self.modes = {e["table"]: e["mode"] for e in manifest["entries"]}
+        self.tree = tuple(ShardTable(**t) for t in manifest["tree"])
         self.numbers = list(range(manifest["first"], manifest["last"] + 1))
 
     def table(self, name: str, number: int | None = None) -> DataFrame:
@@ -146,3 +149,16 @@ class Shards:
         if self.modes[name] == "whole" or number is None:
             return rows
         return rows.where(F.col(SHARD) == number).drop(SHARD)
+
+    def subset(self, read: Read, numbers: list[int]) -> dict[str, DataFrame]:
+        """Each table as far as the given shards reach it, every row once: the root's rows from those shards alone, the others from the whole tables by their parents' keys."""
+        out: dict[str, DataFrame] = {}
+        for table in self.tree:
+            if table.mode == "root":
+                out[table.name] = self.table(table.name).where(F.col(SHARD).isin(numbers)).drop(SHARD)
+            elif table.mode == "follow":
+                reached = out[table.parent].select(F.col(table.parent_key).alias(table.key))
+                out[table.name] = read(table.name).join(reached, table.key, "left_semi").select(*read(table.name).columns)
+            else:
+                out[table.name] = read(table.name)
+        return out

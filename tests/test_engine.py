@@ -2,17 +2,19 @@ import contextlib
 import io
 import shutil
 
+import pyarrow as pa
 import pytest
 
 from lakeweave.bootstrap import bootstrap
-from lakeweave.functions import shard_by_remainder, strftime
+from lakeweave.functions import register_functions, shard_by_remainder, strftime
 from lakeweave.operators.joins import not_in, range_join
 from lakeweave.plans.classify import classify, stripped
+from lakeweave.plans.ssb import Star
 from lakeweave.plans.tpch import TPCH
 from lakeweave.session import Engine, Settings, plan_distribution, summarize
 from lakeweave.shell import Shell
-from lakeweave.sources.catalog import Tables, export, register
-from lakeweave.sources.shards import ORDERS_TREE, SHARD, ShardTable, Shards, build_shards, sharded, verify_shards
+from lakeweave.sources.catalog import Tables, export, register, register_arrow
+from lakeweave.sources.shards import ORDERS_TREE, SHARD, STAR_TREE, ShardTable, Shards, build_shards, sharded, verify_shards
 from lakeweave.streaming import windowed
 from lakeweave.users import authenticate, create_user
 
@@ -144,6 +146,72 @@ def test_results_by_shard(engine):
     assert engine.spark.sql("SELECT count(*) FROM orders").first()[0] == 1500
 
 
+def test_active_shards_narrow_what_is_summed(engine, spark):
+    try:
+        engine.settings.set("active_shards", "1,3")
+        run = engine.sql("SELECT count(*) AS n, count(DISTINCT o_custkey % 10) AS d FROM orders JOIN customer ON c_custkey = o_custkey")
+        assert run.mode == "subset" and "active shards" in run.notice()
+        held = Shards(spark, engine.shards.path).table("orders").where(f"{SHARD} IN (1, 3)").count()
+        assert 0 < held < 1500 and run.df.first()["n"] == held
+        lines = engine.sql("SELECT count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey").df.first()["n"]
+        assert lines == Shards(spark, engine.shards.path).table("lineitem").where(f"{SHARD} IN (1, 3)").count()
+        assert engine.sql("SELECT count(*) AS n FROM nation").df.first()["n"] == 25
+    finally:
+        engine.settings = Settings()
+    assert "exactly" in engine.sql(AGGREGATE).notice()
+    # other users of the session see the whole tables
+    assert spark.sql("SELECT count(*) FROM orders").first()[0] == 1500
+
+
+def test_sign_in(spark, small, tmp_path):
+    path = str(tmp_path / "users.json")
+    create_user(path, "ann", "word", rounds=1000)
+    assert Engine(spark, small, user_file=path, token="ann:word").user == "ann"
+    for token in ("ann:other", "", "bob:word"):
+        with pytest.raises(PermissionError):
+            Engine(spark, small, user_file=path, token=token)
+
+
+def test_tables_of_both_layouts(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "one"))
+    spark.range(4).write.parquet(str(tmp_path / "two.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert (t.one.count(), t.two.count()) == (3, 4)
+    with pytest.raises(AttributeError):
+        t.three
+
+
+def test_managed_tables_and_arrow(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "kept_numbers"))
+    try:
+        assert register(spark, str(tmp_path), materialize=True) == ["kept_numbers"]
+        assert spark.catalog.tableExists("kept_numbers") and not spark.catalog._jcatalog.getTable("kept_numbers").isTemporary()
+        spark.sql("CREATE TABLE kept_twice USING parquet AS SELECT id * 2 AS id FROM kept_numbers")
+        assert spark.table("kept_twice").agg({"id": "sum"}).first()[0] == 20
+    finally:
+        for name in ("kept_numbers", "kept_twice"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    register_arrow(spark, "from_memory", pa.table({"k": [1, 2, 2], "v": ["a", None, "c"]}))
+    assert [tuple(r) for r in spark.sql("SELECT k, count(v) FROM from_memory GROUP BY k ORDER BY k").collect()] == [(1, 1), (2, 1)]
+
+
+def test_star_shards(spark, small, tmp_path):
+    of = Star(Tables(spark, small))
+    tables = {"customer": of.people("c"), "lineorder": of.join(), "part": of.parts, "supplier": of.people("s"), "date_dim": of.orders.select("lo_orderdate").distinct()}
+    build_shards(spark, tables.__getitem__, STAR_TREE, 3, str(tmp_path / "s"))
+    assert verify_shards(spark, str(tmp_path / "s")) == []
+    built = Shards(spark, str(tmp_path / "s"))
+    assert sum(built.table("lineorder", n).count() for n in built.numbers) == 6000
+    some = built.subset(tables.__getitem__, [2])
+    assert some["lineorder"].count() == built.table("lineorder", 2).count() and some["part"].count() == built.table("part", 2).count()
+
+
+def test_strftime_in_sql(spark):
+    register_functions(spark)
+    row = spark.sql("SELECT strftime('%Y', TIMESTAMP_NTZ'2021-03-04 05:06:07'), strftime(DATE'2021-03-04', '%d.%m.%y'), strftime('%H:%M', CAST(NULL AS TIMESTAMP))").first()
+    assert tuple(row) == ("2021", "04.03.21", None)
+
+
 def test_shell(engine):
     typed = ".show distributed\n.set max_rows=2\n.set nothing\nSELECT r_name\nFROM region ORDER BY 1;\nSELECT 1 AS one\n/\nDROP TABLE x;\nSELECT nope FROM region;\n.quit\n"
     out = io.StringIO()

@@ -8,11 +8,12 @@ import pytest
 
 from lakeweave.operators.relational import REL
 from lakeweave.operators.sharding import SHARDS, STREAM
+from lakeweave.operators.statements import SQL
 from lakeweave.plans.ssb import SSB
 from lakeweave.plans.tpch import TPCH
 from lakeweave.sources.catalog import Tables
 
-ENTRIES = {**TPCH, **SSB, **REL, **SHARDS, **STREAM}
+ENTRIES = {**TPCH, **SSB, **REL, **SHARDS, **STREAM, **SQL}
 VIEWS = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
