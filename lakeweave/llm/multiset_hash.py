@@ -31,7 +31,7 @@ PACKED, PER_LONG, LANE_BITS, PART_UNITS = 21, 3, 21, 1 << 20
 LANES, LANE = PACKED * PER_LONG, (1 << LANE_BITS) - 1
 MASK = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
 #: Characters that a piece may have before it is taken in runs of RUN.
-LONGEST, RUN = 48, 4
+LONGEST, RUN = 256, 4
 #: Rows that one range of ids holds about.
 RANGE_ROWS = 4096
 #: Ranges at most; beyond MOST_RANGES * RANGE_ROWS rows the ranges grow instead.
@@ -72,9 +72,11 @@ def _summed(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
     names = [*(f"w{k}" for k in range(WIDE)), *(f"l{k}" for k in range(PACKED))]
     parts = hashed.groupBy(*keys, "chunk").agg(*[c.alias(n) for c, n in zip(wide + packed, names, strict=True)], F.count("h").alias("n"))
     lane = lambda i: F.shiftrightunsigned(f"l{i % PACKED}", i // PACKED * LANE_BITS).bitwiseAND(F.lit(LANE))
-    sums = parts.groupBy(*keys).agg(*[F.sum(F.pmod(f"w{k}", F.lit(MODULUS))).alias(f"w{k}") for k in range(WIDE)], *[F.sum(lane(i)).alias(f"x{i}") for i in range(LANES)], F.sum("n").alias("n"))
-    array = lambda name, n: F.array(*[F.pmod(F.coalesce(F.col(f"{name}{k}"), F.lit(0)), F.lit(MODULUS)) for k in range(n)])
-    return sums.select(*keys, F.struct(array("w", WIDE).alias("wide"), array("x", LANES).alias("lanes"), F.col("n")).alias("v"))
+    told = F.struct(F.array(*[F.coalesce(F.pmod(f"w{k}", F.lit(MODULUS)), F.lit(0)) for k in range(WIDE)]).alias("wide"), F.array(*[F.coalesce(lane(i), F.lit(0)) for i in range(LANES)]).alias("lanes"), F.col("n"))
+    # the parts of one text: a text has one for each PART_UNITS of its units
+    sums = parts.groupBy(*keys).agg(F.collect_list(told).alias("p"))
+    first = F.get("p", F.lit(0))
+    return sums.select(*keys, F.when(F.size("p") == 1, first).otherwise(F.aggregate(F.slice("p", 2, F.size("p")), first, lambda a, b: combine(a, b))).alias("v"))
 
 
 def _signs(v: Column) -> Column:

@@ -112,7 +112,7 @@ def plain_vector(text):
     mixed = lambda k, part: xxhash.xxh64(part.encode(), seed=xxhash.xxh64(k.to_bytes(4, "little"), seed=42).intdigest()).intdigest()
     paragraphs = [p for p in text.split("\n") if p]
     pieces = [p for p in re.split(r"\n|(?<=[.!?|,;:*$%&#nsta])[ \t\n\x0b\f\r]+|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])", text) if p]
-    pieces = [x for p in pieces for x in ([p] if len(p) <= 48 else [p[i : i + 4] for i in range(len(p) - 3)])]
+    pieces = [x for p in pieces for x in ([p] if len(p) <= 256 else [p[i : i + 4] for i in range(len(p) - 3)])]
     lanes = []
     for k in range(4):
         h = [mixed(k, p) for p in paragraphs]
@@ -123,7 +123,7 @@ def plain_vector(text):
 
 
 def test_fingerprints_by_hand(spark, docs):
-    texts = [r["text"] for r in docs.collect()][:60] + ["", "\n\n", "one line", "今天天气很好，我们去公园。明天不去！", "ก" * 300, "x" * 49, "x" * 48, "a  b\nb s  c", "tab t\tand s\x0bv"]
+    texts = [r["text"] for r in docs.collect()][:60] + ["", "\n\n", "one line", "今天天气很好，我们去公园。明天不去！", "ก" * 300, "x" * 257, "x" * 256, "a  b\nb s  c", "tab t\tand s\x0bv"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["fingerprint"] for r in multiset_hash.document_fingerprints(df).collect()}
     assert found == {i: plain_vector(t) for i, t in enumerate(texts)}
