@@ -110,7 +110,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_words:
     give equal results; an empty table gives an empty result; further columns are ignored.
     """
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    return metrics(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    told = metrics(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
