@@ -6,6 +6,8 @@ city, nation, region, category and manufacturer are derived from what the tables
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from lakeweave.sources.catalog import Tables
 SSB = Registry(
     "ssb_",
     """WITH lineorder AS (SELECT l_orderkey AS lo_orderkey, o_custkey AS lo_custkey, l_partkey AS lo_partkey, l_suppkey AS lo_suppkey, l_quantity AS lo_quantity, l_extendedprice AS lo_extendedprice,
- CAST(ROUND(l_discount * 100) AS INT) AS lo_discount, l_extendedprice * (1 - l_discount) AS lo_revenue, 0.6 * l_extendedprice AS lo_supplycost, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS lo_orderdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+ CAST(ROUND(l_discount * 100) AS INT) AS lo_discount, CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) AS lo_revenue, 0.6 * CAST(l_extendedprice AS DECIMAL(15, 2)) AS lo_supplycost, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS lo_orderdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 date_dim AS (SELECT DISTINCT CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS d_datekey, CAST(year(o_orderdate) AS INT) AS d_year, CAST(strftime(o_orderdate, '%Y%m') AS INT) AS d_yearmonthnum, strftime(o_orderdate, '%b%Y') AS d_yearmonth, CAST(weekofyear(o_orderdate) AS INT) AS d_weeknuminyear FROM orders),
 cust AS (SELECT c_custkey, n_name || '_' || CAST(c_custkey % 2 AS VARCHAR) AS c_city, n_name AS c_nation, r_name AS c_region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
 supp AS (SELECT s_suppkey, n_name || '_' || CAST(s_suppkey % 2 AS VARCHAR) AS s_city, n_name AS s_nation, r_name AS s_region FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
@@ -49,10 +51,11 @@ class Star:
     @property
     def lines(self) -> DataFrame:
         price, discount = F.col("l_extendedprice"), F.col("l_discount")
+        cents = price.cast("decimal(15,2)")  # sums that end in half a cent must not depend on the order of rows
         rows = self.t.lineitem if self.of_lines is None else self.t.lineitem.where(self.of_lines)
         return rows.select(
             F.col("l_orderkey").alias("lo_orderkey"), F.col("l_partkey").alias("lo_partkey"), F.col("l_suppkey").alias("lo_suppkey"), F.col("l_quantity").alias("lo_quantity"), price.alias("lo_extendedprice"),
-            F.round(discount * 100).cast("int").alias("lo_discount"), (price * (1 - discount)).alias("lo_revenue"), (0.6 * price).alias("lo_supplycost"),
+            F.round(discount * 100).cast("int").alias("lo_discount"), (cents * (1 - discount.cast("decimal(4,2)"))).alias("lo_revenue"), (cents * F.lit(Decimal("0.6"))).alias("lo_supplycost"),
         )
 
     def people(self, side: str) -> DataFrame:
@@ -124,7 +127,7 @@ def _brands(t: Tables, p: Column, region: str) -> DataFrame:
     return sold.groupBy("d_year", "p_brand").agg(money(F.sum("lo_revenue"), "lo_revenue")).orderBy("d_year", "p_brand")
 
 
-_Q2 = "SELECT ROUND(SUM(lo_revenue), 2) AS lo_revenue, d_year, p_brand FROM lineorder JOIN date_dim ON d_datekey = lo_orderdate JOIN prod ON p_partkey = lo_partkey JOIN supp ON s_suppkey = lo_suppkey WHERE {} GROUP BY d_year, p_brand ORDER BY d_year, p_brand"
+_Q2 = "SELECT CAST(ROUND(SUM(lo_revenue), 2) AS DOUBLE) AS lo_revenue, d_year, p_brand FROM lineorder JOIN date_dim ON d_datekey = lo_orderdate JOIN prod ON p_partkey = lo_partkey JOIN supp ON s_suppkey = lo_suppkey WHERE {} GROUP BY d_year, p_brand ORDER BY d_year, p_brand"
 
 
 @SSB(_Q2.format("p_category = 'ECONOMY' AND s_region = 'AMERICA'"))
@@ -147,7 +150,7 @@ def _flows(t: Tables, level: str, c: Column, s: Column, years: tuple[int, int],
     return Star(t).join(dates=dates, years=years, c=c, s=s).groupBy(*keys).agg(money(F.sum("lo_revenue"), "revenue")).orderBy(F.asc("d_year"), F.desc("revenue"), *keys[:2])
 
 
-_Q3 = "SELECT c_{0}, s_{0}, d_year, ROUND(SUM(lo_revenue), 2) AS revenue FROM lineorder JOIN cust ON c_custkey = lo_custkey JOIN supp ON s_suppkey = lo_suppkey JOIN date_dim ON d_datekey = lo_orderdate WHERE {1} GROUP BY ALL ORDER BY d_year ASC, revenue DESC, 1, 2"
+_Q3 = "SELECT c_{0}, s_{0}, d_year, CAST(ROUND(SUM(lo_revenue), 2) AS DOUBLE) AS revenue FROM lineorder JOIN cust ON c_custkey = lo_custkey JOIN supp ON s_suppkey = lo_suppkey JOIN date_dim ON d_datekey = lo_orderdate WHERE {1} GROUP BY ALL ORDER BY d_year ASC, revenue DESC, 1, 2"
 _CITIES = ("NATION_9_0", "NATION_9_1")
 _IN_CITIES = "c_city IN ('NATION_9_0', 'NATION_9_1') AND s_city IN ('NATION_9_0', 'NATION_9_1') AND "
 
@@ -176,7 +179,7 @@ def _profits(sold: DataFrame, *keys: str) -> DataFrame:
     return sold.groupBy(*keys).agg(money(F.sum(F.col("lo_revenue") - F.col("lo_supplycost")), "profit")).orderBy(*keys)
 
 
-_Q4 = "SELECT {0}, ROUND(SUM(lo_revenue - lo_supplycost), 2) AS profit FROM lineorder JOIN cust ON c_custkey = lo_custkey JOIN supp ON s_suppkey = lo_suppkey JOIN prod ON p_partkey = lo_partkey JOIN date_dim ON d_datekey = lo_orderdate WHERE {1} GROUP BY ALL ORDER BY {0}"
+_Q4 = "SELECT {0}, CAST(ROUND(SUM(lo_revenue - lo_supplycost), 2) AS DOUBLE) AS profit FROM lineorder JOIN cust ON c_custkey = lo_custkey JOIN supp ON s_suppkey = lo_suppkey JOIN prod ON p_partkey = lo_partkey JOIN date_dim ON d_datekey = lo_orderdate WHERE {1} GROUP BY ALL ORDER BY {0}"
 
 
 @SSB(_Q4.format("d_year, c_nation", "c_region = 'AMERICA' AND s_region = 'AMERICA' AND (p_mfgr = 'MFGR#1' OR p_mfgr = 'MFGR#2')"))

@@ -32,7 +32,7 @@ def net() -> Column:
 
 def money(total: Column, name: str) -> Column:
     """A sum of money to the cent: sums of doubles depend on their order in the last digits."""
-    return F.round(total, 2).alias(name)
+    return F.round(total, 2).cast("double").alias(name)
 
 
 def late() -> Column:
