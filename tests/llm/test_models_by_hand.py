@@ -1,13 +1,17 @@
-"""The learnt models against plain versions: splits and traversal of the trees, trigrams, bits and decoding."""
+"""The learnt models against plain versions: splits and traversal of the trees, language bits and decoding, licence notices, labels of page nodes."""
 
+import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+from pyspark.ml.feature import HashingTF
 
-from lakeweave.llm import language_id, quality_model
+from lakeweave.llm import html_text, language_id, licenses, quality_model
 from lakeweave.llm.trees import fit_forest
 
 
@@ -120,3 +124,70 @@ def test_decoding_by_hand(n):
     for k in range(200):
         lang, s, gap = plain_decode(model, margins[k])
         assert model.languages[best[k]] == lang and share[k] == pytest.approx(s) and lead[k] == pytest.approx(gap, abs=1e-9)
+
+
+def plain_notices(level, weights, offsets, index_of, text):
+    """Families and probabilities of all lines of a text that name a licence, without any shortcut by stems."""
+    out = []
+    for line in (text or "").split("\n"):
+        w = plain_words(line)
+        own = plain_pairs(w)
+        sums = (weights[:, sorted({index_of(g) for g in w + own})].sum(1) + offsets).tolist()
+        shares = [math.exp(s - max(sums)) for s in sums]
+        best = max(range(len(sums)), key=sums.__getitem__)
+        p = shares[best] / sum(shares)
+        if best == 0 or p < level:
+            continue
+        family = licenses.FAMILIES[best]
+        common = {p for n in licenses.INVENTED for f in licenses.FRAMES for p in plain_pairs(plain_words(f.format(n)))}
+        telling_own = set(own) - common
+        for t in licenses.TEMPLATES[family] + licenses.NAMES[family]:
+            ours = set(plain_pairs(plain_words(t))) or set(plain_words(t))
+            ours = ours - common or ours
+            if len(ours & (telling_own | set(w))) >= 0.7 * min(len(ours), max(len(telling_own), 2)):
+                out.append((family, p))
+                break
+    return out
+
+
+def plain_words(text):
+    return [x for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x]
+
+
+def plain_pairs(w):
+    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
+def test_licences_of_the_query(spark, docs):
+    planted = ["Released under the MIT License.\nReleased under the MIT License.", "License: Acme Public License, version 2\nunder GPLv3 or later", "A licence to drive.", "SPDX-License-Identifier: ISC\nsome words\n\nLicensed under CC BY-SA 4.0.", None, ""]
+    rows = docs.select("doc_id", "text").orderBy("doc_id").limit(80).collect() + [(5000 + i, t) for i, t in enumerate(planted)]
+    df = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    fitted = licenses.learn(df)
+    told = (fitted.level, fitted.model.coefficientMatrix.toArray(), fitted.model.interceptVector.toArray())
+    texts = [(t or "").split("\n") for _, t in map(tuple, rows)]
+    terms = sorted({g for lines in texts for line in lines for w in [plain_words(line)] for g in w + plain_pairs(w)})
+    hashed = HashingTF(numFeatures=licenses.FEATURES, inputCol="g", outputCol="x").transform(spark.createDataFrame([([t],) for t in terms], "g array<string>"))
+    index_of = {r["g"][0]: int(r["x"].indices[0]) for r in hashed.collect()}.__getitem__
+
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(df, fitted).collect()}
+    assert len(found) == len(rows)
+    for doc_id, text in map(tuple, rows):
+        want, got = plain_notices(*told, index_of, text), found[doc_id]
+        assert got["n_notices"] == len(want)
+        assert got["families"] == ",".join(sorted({f for f, _ in want}))
+        assert got["score"] == pytest.approx(max((p for _, p in want), default=0.0))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_labels_of_nodes_by_trying_all(seed):
+    """The decoded labels are the likeliest of all that run outside, inside, foreign along every path."""
+    rng = random.Random(seed)
+    n = rng.randint(1, 8)
+    page = html_text.Page("")
+    page.tag, page.up = ["div"] * n, [-1] + [rng.randrange(i) for i in range(1, n)]
+    p = np.array([rng.random() for _ in range(n)])
+    allowed = [s for s in itertools.product((0, 1, 2), repeat=n) if s[0] != 2 and all((page.up[i] < 0 or s[page.up[i]] <= s[i]) and not (s[i] == 2 and s[page.up[i]] == 0) for i in range(n))]
+    worth = lambda main: sum(math.log(q if m else 1 - q) for q, m in zip(p, main, strict=True))
+    best = max(worth([x == 1 for x in s]) for s in allowed)
+    got = page.decode(p)
+    assert worth(got) == pytest.approx(best) and any([x == 1 for x in s] == got for s in allowed)
