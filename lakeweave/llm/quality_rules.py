@@ -50,30 +50,33 @@ def _repeated_words(hashes: Column) -> Column:
     Sorted (hash, place) pairs put equal windows side by side; the places of those
     with an equal neighbour cover three words each, and each word counts once.
     """
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(placed)
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def of_equals(pairs: Column) -> Column:
-        same = lambda a, b: a["h"] == b["h"]
-        ahead = F.transform(F.arrays_zip(F.slice(pairs, 1, n - 1).alias("a"), F.slice(pairs, 2, n - 1).alias("b")), lambda z: F.when(same(z["a"], z["b"]), F.array(z["a"]["i"], z["b"]["i"])))
+        n = F.greatest(F.size(pairs) - 1, F.lit(0))
+        ahead = F.zip_with(F.slice(pairs, 1, n), F.slice(pairs, 2, n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
         return F.flatten(F.filter(ahead, lambda x: x.isNotNull()))
 
-    return F.size(F.array_distinct(F.flatten(F.transform(of_equals(placed), lambda i: F.array(i, i + 1, i + 2)))))
+    # as the one element of an array, so that the pairs are sorted once and not wherever they are named
+    equals = F.get(F.transform(F.array(placed), of_equals), F.lit(0))
+    return F.size(F.array_distinct(F.flatten(F.transform(equals, lambda i: F.array(i, i + 1, i + 2)))))
 
 
 def metrics(docs: DataFrame) -> DataFrame:
     """Counts for each row of docs (doc_id, text); a null text counts as empty.
 
-    Windows of three words are compared by a 64-bit hash within one text, so the
-    work stays in the row: nothing is shuffled.
+    Each word is hashed once, and windows of three words are compared by a 64-bit hash of
+    those hashes within one text, so the work stays in the row: nothing is shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"), words(text).alias("words"))
     n = F.size("words")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     some = F.greatest(n - 2, F.lit(0))
-    windows = F.transform(F.arrays_zip(*[F.slice("words", k, some).alias(f"w{k}") for k in (1, 2, 3)]), lambda w: F.xxhash64(w))
-    base = base.select("doc_id", "text", "words", lines.alias("lines"), windows.alias("windows"))
+    base = base.select("doc_id", "text", "words", lines.alias("lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    joined = lambda a, b: F.xxhash64(a, b)
+    windows = F.zip_with(F.zip_with(F.slice("hashes", 1, some), F.slice("hashes", 2, some), joined), F.slice("hashes", 3, some), joined)
+    base = base.select("doc_id", "text", "words", "lines", windows.alias("windows"))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     return base.select(
         "doc_id",
