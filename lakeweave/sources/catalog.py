@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Folders whose view has another name.
 ALIASES = {"date": "date_dim"}
@@ -11,20 +12,36 @@ ALIASES = {"date": "date_dim"}
 FORMATS = {"parquet": "parquet", "orc": "orc", "csv": "csv", "json": "json"}
 
 
+#: Schemas of files known by path, time of change and size, and how many are kept at most.
+_KNOWN: dict[tuple[str, int, int], StructType] = {}
+MOST_KNOWN = 1000
+
+
 class Tables:
-    """The tables of a data set as attributes: `<root>/<name>.parquet` or a folder `<root>/<name>`."""
+    """The tables of a data set as attributes: `<root>/<name>.parquet` or a folder `<root>/<name>`.
+
+    Finding out a schema is a job of its own, so that of a single file is kept until the file
+    changes; a folder is looked into once for each of these objects.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.paths = folders(spark, self.root)
+        self.entries = _listed(spark, self.root)
+        self.own: dict[str, StructType] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in self.paths:
+        if name.startswith("_") or name not in self.entries:
             raise AttributeError(f"{self.root} has no table {name}")
-        return read(self.spark, self.paths[name])
+        path, *version = self.entries[name]
+        kept, key = (_KNOWN, (path, *version)) if version else (self.own, path)
+        rows = read(self.spark, path, schema=kept.get(key))
+        if len(kept) >= MOST_KNOWN:
+            kept.clear()
+        kept[key] = rows.schema
+        return rows
 
 
-def read(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, fmt: str | None = None, schema: str | StructType | None = None) -> DataFrame:
     """A table from files of one format, by the ending of the path where none is given.
 
     Text formats need a schema: without one Spark would read all of the data just to guess it.
@@ -36,20 +53,26 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, schema: str | N
     return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
 
 
-def folders(spark: SparkSession, root: str) -> dict[str, str]:
-    """Table name and path of each entry below root, in any store that Spark's file systems reach."""
+def _listed(spark: SparkSession, root: str) -> dict[str, tuple]:
+    """Table name and path of each entry below root, in any store that Spark's file systems reach; with time of change and size of files."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     found = {}
     for status in listed:
-        name = status.getPath().getName()
-        if name[:1] not in "._" and (status.isDirectory() or name.rpartition(".")[2] in FORMATS):
+        at, folder = status.getPath().toString(), status.isDirectory()
+        name = at.rpartition("/")[2]
+        if name[:1] not in "._" and (folder or name.rpartition(".")[2] in FORMATS):
             table = name.partition(".")[0]
-            found[ALIASES.get(table, table)] = status.getPath().toString()
+            found[ALIASES.get(table, table)] = (at,) if folder else (at, status.getModificationTime(), status.getLen())
     return dict(sorted(found.items()))
 
 
+def folders(spark: SparkSession, root: str) -> dict[str, str]:
+    """Table name and path of each entry below root."""
+    return {name: path for name, (path, *_) in _listed(spark, root).items()}
+
+
 def register_arrow(spark: SparkSession, name: str, table: pa.Table) -> None:
     """Makes an Arrow table in memory a view; it goes to Spark whole, so it is for small tables."""
     spark.createDataFrame(table).createOrReplaceTempView(name)

@@ -3,6 +3,7 @@ import io
 import shutil
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lakeweave.bootstrap import bootstrap
@@ -181,6 +182,15 @@ def test_tables_of_both_layouts(spark, tmp_path):
         t.three
 
 
+def test_tables_see_changed_files(spark, tmp_path):
+    for columns in ({"a": [1, 2]}, {"a": [1, 2], "b": ["x", "y"]}, {"b": [1.5, 2.5, 3.5]}):
+        pq.write_table(pa.table(columns), str(tmp_path / "one.parquet"))
+        for _ in range(2):
+            t = Tables(spark, str(tmp_path))
+            assert (t.one.columns, t.one.columns, t.one.count()) == (list(columns), list(columns), len(next(iter(columns.values()))))
+    assert t.one.schema["b"].dataType.simpleString() == "double"
+
+
 def test_managed_tables_and_arrow(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "kept_numbers"))
     try:
