@@ -1,4 +1,4 @@
-"""The learnt models against plain versions: splits and traversal of the trees, language bits and decoding, licence notices, labels of page nodes."""
+"""The learnt models against plain versions: splits and traversal of the trees, language bits and decoding, licence notices, labels of page nodes, automata."""
 
 import itertools
 import math
@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.ml.feature import HashingTF
 
-from lakeweave.llm import html_text, language_id, licenses, quality_model
+from lakeweave.llm import html_text, language_id, licenses, quality_model, secrets
 from lakeweave.llm.trees import fit_forest
 
 
@@ -191,3 +191,31 @@ def test_labels_of_nodes_by_trying_all(seed):
     best = max(worth([x == 1 for x in s]) for s in allowed)
     got = page.decode(p)
     assert worth(got) == pytest.approx(best) and any([x == 1 for x in s] == got for s in allowed)
+
+
+def test_automaton_without_chance_merges_tells_the_frequencies():
+    """With a bound of zero only states that go on exactly alike merge, so each text keeps the frequency that counting gives."""
+    rng = random.Random(4)
+    for _ in range(20):
+        times = {"".join(rng.choice("ab") for _ in range(rng.randint(0, 4))): rng.randint(3, 9) for _ in range(12)}
+        learnt = secrets.Automaton([x for x, n in times.items() for _ in range(n)], alpha=2.0)
+        total = sum(times.values())
+        for x, n in times.items():
+            assert abs(learnt.score(secrets.symbols(x)) - math.log(n / total)) < 1e-9
+        for q, moves in learnt.moves.items():
+            ends = math.exp(learnt.ends[q])
+            assert abs(sum(math.exp(p) for p, _ in moves.values()) + (ends if ends > 2 * secrets.UNSEEN else 0) - 1) < 1e-9
+
+
+def test_automaton_merges_what_goes_on_alike():
+    """Of marks that go on or end with one half each, one state is left, and longer runs than were seen get their probability."""
+    samples = ["-" * k for k in range(11) for _ in range(1 << (10 - k))]
+    learnt = secrets.Automaton(samples)
+    assert len(learnt.moves) == 1
+    marks = sum(map(len, samples))
+    on = marks / (marks + len(samples))
+    assert abs(learnt.score(["-"] * 20) - 20 * math.log(on) - math.log(1 - on)) < 1e-9
+    # a mark that ends differently stays apart
+    apart = secrets.Automaton(["x"] * 500 + ["y-"] * 500 + ["y"] * 100)
+    assert len(apart.moves) > len(secrets.Automaton(["x"] * 500 + ["y"] * 500).moves)
+    assert apart.score(["y", "-"]) > apart.score(["x", "-"])
